@@ -10,6 +10,7 @@ from evalweave.catalog.registry import query
 from evalweave.functions.prompts import JUDGE_SYSTEM_MESSAGE, JUDGE_TEMPLATE
 from evalweave.functions.retry import is_retryable, retry_action, retry_delay, suggested_delay
 from evalweave.functions.text import (
+    FINAL_ANSWER_PATTERNS,
     coerce_score,
     is_failed_answer,
     is_leaked_plan,
@@ -20,7 +21,9 @@ from evalweave.functions.text import (
 )
 from evalweave.operators import reporting, runlog, scoring, timing
 from evalweave.operators.attempts import resolve_attempts
+from evalweave.operators.inference import attach_answers
 from evalweave.plans.evaluation import judge_prompts
+from evalweave.schemas import SYSTEM_TYPES
 from evalweave.session import scratch_path
 from evalweave.sources import run_files, state
 from evalweave.sources.tables import table
@@ -60,9 +63,31 @@ def clean_answers(spark, d):
     )
 
 
-@query("clean_reasoning")
+def _rest_sql(pattern: str) -> str:
+    """Length of what follows the last match of a marker."""
+    quoted = pattern.replace("'", "''")
+    marked = f"regexp_replace(t, '{quoted}', '\\0' || chr(65535), 'gi')"
+    return f"CASE WHEN contains({marked}, chr(65535)) THEN length(split_part({marked}, chr(65535), -1)) END"
+
+
+_REASONING_SQL = f"""WITH raw AS (SELECT doc_id, 'Thinking Process:' || chr(10) || text || CASE doc_id % 4
+    WHEN 0 THEN chr(10) || '* *Final Answer:* ' || source WHEN 1 THEN chr(10) || '2. **Drafting the Answer:** *' || source || '*'
+    WHEN 2 THEN chr(10) || chr(10) || 'Last paragraph of ' || source ELSE '' END AS t0 FROM documents),
+  closed AS (SELECT doc_id, regexp_replace(CASE WHEN contains(t0, '</think>') THEN substr(t0, strpos(t0, '</think>') + 8) ELSE t0 END,
+    '<think>.*', '', 's') AS t FROM raw),
+  ends AS (SELECT *, least({', '.join(_rest_sql(p) for p in FINAL_ANSWER_PATTERNS)}) AS rest,
+    list_filter(string_split(t, chr(10) || chr(10)), lambda p: {strip_sql('p')} <> '') AS paragraphs FROM closed),
+  picked AS (SELECT doc_id, t, {strip_sql("CASE WHEN rest IS NOT NULL THEN right(t, rest) WHEN len(paragraphs) > 1 THEN paragraphs[-1] ELSE right(t, 600) END")} AS a FROM ends),
+  plain AS (SELECT doc_id, CASE WHEN contains(t, 'Thinking Process:') THEN {strip_sql(
+    "regexp_replace(regexp_replace(a, '(?m)^[[:space:]]*[*][[:space:]]*', '', 'g'), '(?m)^[*](.*)[*]$', '\\1', 'g')")} ELSE t END AS p,
+    CAST(contains(t, 'Thinking Process:') AS BIGINT) AS rule_process FROM picked)
+  SELECT doc_id, rule_process, {strip_sql("CASE WHEN contains(p, 'Feedback:') THEN 'Feedback:' || regexp_extract(p, '(?s)^.*Feedback:(.*)$', 1) ELSE p END")} AS cleaned
+  FROM plain"""
+
+
+@query("clean_reasoning", _REASONING_SQL)
 def clean_reasoning(spark, d):
-    """Whole documents wrapped in leaked reasoning; checked against plain Python in the tests."""
+    """Whole documents wrapped in leaked reasoning."""
     docs = table(spark, d, "documents")
     leaked = docs.select(
         "doc_id",
@@ -165,17 +190,11 @@ def prompts_judge(spark, d):
 def union_systems(spark, d):
     answers = inputs.answers(spark, d)
     columns = ["run_id", "idx", "question", "generated_answer"]
-    lists = {s: answers.where(F.col("system_type") == s).select(*columns) for s in inputs_systems()}
+    lists = {s: answers.where(F.col("system_type") == s).select(*columns) for s in SYSTEM_TYPES}
     tagged = [rows.withColumn("system_type", F.lit(s)) for s, rows in lists.items()]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
-def inputs_systems():
-    from evalweave.schemas import SYSTEM_TYPES
-
-    return SYSTEM_TYPES
-
-
 @query("phase_counts", sql("SELECT run_id, system_type, count(*) AS n_rows FROM answers GROUP BY ALL", "answers"))
 def phase_counts(spark, d):
     """Counts of stored phases: rows are written as phase results and read back."""
@@ -213,8 +232,6 @@ def upsert_system(spark, d):
     ),
 )
 def answers_attach(spark, d):
-    from evalweave.operators.inference import attach_answers
-
     given = table(spark, d, "labels").select(
         F.col("doc_id").alias("idx"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("generated_answer")
     )
@@ -271,11 +288,12 @@ def run_scores_wide(spark, d):
     return _rounded(wide, "agentic_rag", "standard_rag", "standard")
 
 
-@query("run_scores_map")
+@query("run_scores_map", sql("SELECT run_id, system_type, round(accuracy, 6) AS accuracy FROM board", "board"))
 def run_scores_map(spark, d):
-    return scoring.scores_map(scoring.scoreboard(inputs.scored(spark, d))).select(
-        "run_id", F.to_json("scores").alias("scores")
-    )
+    """The scores map of each run, listed entry by entry."""
+    maps = scoring.scores_map(scoring.scoreboard(inputs.scored(spark, d)))
+    entries = maps.select("run_id", F.explode("scores").alias("system_type", "accuracy"))
+    return _rounded(entries, "accuracy")
 
 
 @query(
@@ -404,10 +422,10 @@ PREFIXES = [f"model{i}-" for i in range(50)]
 @query(
     "timing_pairs",
     sql(
-        """SELECT l.prefix, local_file, round(coalesce(agentic_seconds, 0) / 60, 6) AS local_agentic_min,
-        round(coalesce(rag_seconds, 0) / 60, 6) AS local_standard_min, round(coalesce(vanilla_seconds, 0) / 60, 6) AS local_vanilla_min,
-        api_file, round(p / 100 / 60, 6) AS api_agentic_min, round(p / 200 / 60, 6) AS api_standard_min,
-        round(p / 400 / 60, 6) AS api_vanilla_min
+        """SELECT l.prefix, local_file, coalesce(agentic_seconds, 0) / 60 AS local_agentic_min,
+        coalesce(rag_seconds, 0) / 60 AS local_standard_min, coalesce(vanilla_seconds, 0) / 60 AS local_vanilla_min,
+        api_file, p / 100 / 60 AS api_agentic_min, p / 200 / 60 AS api_standard_min,
+        p / 400 / 60 AS api_vanilla_min
         FROM (SELECT *, row_number() OVER (PARTITION BY l0.prefix ORDER BY l0.local_file) AS rn FROM (
               SELECT *, 'model' || (run_key % 50) || '-' AS prefix, 'model' || (run_key % 50) || '-run' || run_key || '.json' AS local_file
               FROM timings) l0) l
@@ -419,8 +437,7 @@ PREFIXES = [f"model{i}-" for i in range(50)]
     ),
 )
 def timing_pairs(spark, d):
-    pairs = timing.timing_pairs(inputs.local_run_files(spark, d), inputs.api_run_files(spark, d), PREFIXES)
-    return _rounded(pairs, *[c for c in pairs.columns if c.endswith("_min")])
+    return timing.timing_pairs(inputs.local_run_files(spark, d), inputs.api_run_files(spark, d), PREFIXES)
 
 
 # --- attempts, retries, run logs -----------------------------------------------
