@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.functions.text import source_segment, with_clean_text
-from evalweave.operators.scoring import attach_verdicts, parse_verdicts, score
+from evalweave.operators.scoring import parse_verdicts, score
 from evalweave.sources.tables import spread, table
 
 DOCS_PER_RUN = 60
@@ -123,7 +123,11 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return score(attach_verdicts(answers(spark, d), verdicts(spark, d)))
+    return score(answers(spark, d), verdicts(spark, d), ["eval_score_LLM_judge"])
+
+
+def scored_with_feedback(spark: SparkSession, d: str) -> DataFrame:
+    return score(answers(spark, d), verdicts(spark, d))
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

@@ -26,7 +26,7 @@ from evalweave.plans.evaluation import judge_prompts
 from evalweave.schemas import SYSTEM_TYPES
 from evalweave.session import scratch_path
 from evalweave.sources import run_files, state
-from evalweave.sources.tables import table
+from evalweave.sources.tables import spread, table
 
 KEYS = ["run_id", "system_type", "idx"]
 
@@ -88,7 +88,7 @@ _REASONING_SQL = f"""WITH raw AS (SELECT doc_id, 'Thinking Process:' || chr(10)
 @query("clean_reasoning", _REASONING_SQL)
 def clean_reasoning(spark, d):
     """Whole documents wrapped in leaked reasoning."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     leaked = docs.select(
         "doc_id",
         F.expr(
@@ -250,7 +250,7 @@ def answers_attach(spark, d):
 )
 def run_records(spark, d):
     """Scored rows written as run results and loaded back with a fixed schema."""
-    rows = inputs.scored(spark, d).drop("raw_text")
+    rows = inputs.scored_with_feedback(spark, d)
     path = run_files.save_results(rows, scratch_path(spark, "run-results"))
     return run_files.load_results(spark, path).select(
         *KEYS, "generated_answer", "eval_score_LLM_judge", F.col("eval_score_LLM_judge_int").alias("score")
@@ -328,9 +328,7 @@ def dup_stars(spark, d):
     runs = inputs.runs(spark, d)
     by_file = reporting.starred_names(reporting.named_runs(runs), [F.col("file_name").asc()])
     shares = reporting.score_distribution(runs, inputs.scored(spark, d))
-    by_score = reporting.starred_names(
-        reporting.source_rank(shares), [F.col("agentic_correct").desc(), F.col("source").asc()]
-    )
+    by_score = reporting.starred_by_score(shares)
     return by_file.select("source", "model_name", F.col("label").alias("label_by_file")).join(
         by_score.select("source", F.col("label").alias("label_by_score")), "source"
     )

@@ -97,12 +97,11 @@ def truncate_content(content: Column, limit: int = 10000) -> Column:
     return F.when(F.length(content) > limit, F.concat(cut, F.lit(TRUNCATED_SUFFIX))).otherwise(content)
 
 
-def _text_after_last_match(text: Column, pattern: str) -> Column:
-    """What follows the last of the left-to-right matches; null without a match."""
+def _chars_after_last_match(text: Column, pattern: str) -> Column:
+    """Characters behind the last of the left-to-right matches; all of them without a match."""
     guarded = F.translate(text, _END, _END_ESCAPE)
     marked = F.regexp_replace(guarded, F.lit("(?iu)" + _jvm(pattern)), F.lit("$0" + _END))
-    rest = F.length(F.substring_index(marked, _END, -1))
-    return F.when(F.instr(marked, _END) > 0, rest)
+    return F.length(F.substring_index(marked, _END, -1))
 
 
 def with_clean_text(df: DataFrame, column: str, into: str = "cleaned") -> DataFrame:
@@ -133,19 +132,19 @@ def with_clean_text(df: DataFrame, column: str, into: str = "cleaned") -> DataFr
     flagged = flagged.withColumn(
         "rule_process", F.coalesce(t.contains(PROCESS_MARK), F.lit(False))
     )
-    # Lengths of what follows the last match of each marker: the shortest wins.
+    # The marker whose last match ends latest leaves the fewest characters.
     flagged = flagged.withColumn(
         "_rest",
         F.when(
             F.col("rule_process"),
-            F.least(*[_text_after_last_match(t, p) for p in FINAL_ANSWER_PATTERNS]),
+            F.least(*[_chars_after_last_match(t, p) for p in FINAL_ANSWER_PATTERNS]),
         ),
     )
     paragraphs = F.filter(F.split(t, "\n\n"), lambda p: strip(p) != "")
     last_chars = F.substring(t, F.greatest(F.length(t) - (TAIL_CHARS - 1), F.lit(1)), F.lit(TAIL_CHARS))
     fallback = F.when(F.size(paragraphs) > 1, F.element_at(paragraphs, -1)).otherwise(last_chars)
     answer = F.when(
-        F.col("_rest").isNotNull(),
+        F.col("_rest") < F.length(t),
         F.substring(t, F.length(t) - F.col("_rest") + 1, F.col("_rest")),
     ).otherwise(fallback)
     bullets = F.regexp_replace(strip(answer), "(?md)" + _jvm(r"^\s*\*\s*"), "")
@@ -186,9 +185,9 @@ def coerce_score(text: Column, default: int = DEFAULT_SCORE) -> Column:
     return F.when(whole, plain.cast("double")).otherwise(F.lit(float(default)))
 
 
-def normalise_score(score: Column, answer: Column) -> Column:
+def normalise_score(score: Column, failed: Column) -> Column:
     """Scores 1, 2, 3 to 0, 0.5, 1; failed answers count 0."""
-    return F.when(is_failed_answer(answer), F.lit(0.0)).otherwise((score - 1) / 2)
+    return F.when(failed, F.lit(0.0)).otherwise((score - 1) / 2)
 
 
 def wrap_label(name: Column, width: int = 12) -> Column:

@@ -45,8 +45,13 @@ def bucket_counts(text: Column, dim: int = DIM) -> Column:
 
 
 def l2_normalised(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    """The vector at length 1 in doubles; a zero vector stays zero."""
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    scaled = F.transform(
+        F.array(F.sqrt(squares)),
+        lambda norm: F.transform(vector, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-300))),
+    )
+    return F.get(scaled, F.lit(0))
 
 
 def hashing_embedder(dim: int = DIM) -> Callable[[], EmbedFn]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.session import checkpointed
+from evalweave.session import written
 
 
 def number_rows(
@@ -21,18 +21,19 @@ def number_rows(
     one huge group does not survive. Here rows are range-partitioned on group and
     order, so a large group spreads over many sorted slabs. Each row's number is its
     place in its slab plus the size of the same group in earlier slabs. ``order_by``
-    must end in a unique key. The slabs are checkpointed: places and sizes have to
+    must end in a unique key. The sorted slabs are written: places and sizes have to
     come from the same partitioning even when a task is run again.
     """
     groups = list(within or [])
     spark = df.sparkSession
     n = slabs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in groups]
-    slab_rows = checkpointed(
+    slab_rows = written(
         df.repartitionByRange(n, *keys, *order_by)
         .sortWithinPartitions(*keys, *order_by)
         .withColumn("_slab", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "slabs",
     )
     sizes = slab_rows.groupBy(*groups, "_slab").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first")
@@ -44,7 +45,10 @@ def number_rows(
         "_slab",
         (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_start"),
     )
-    renamed = starts.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_slab").alias("_s"), "_start")
+    renamed = written(
+        starts.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_slab").alias("_s"), "_start"),
+        "slab-starts",
+    )
     same = F.col("_slab") == F.col("_s")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))

@@ -9,6 +9,7 @@ from evalweave.operators.numbering import number_rows
 from evalweave.operators.scoring import scoreboard
 from evalweave.schemas import SYSTEM_LABELS, SYSTEM_TYPES
 
+
 def system_label(system: Column) -> Column:
     mapping = F.create_map(*[F.lit(x) for pair in SYSTEM_LABELS.items() for x in pair])
     return mapping[system]
@@ -64,18 +65,31 @@ def starred_names(runs: DataFrame, order_by: list[Column]) -> DataFrame:
     )
 
 
+def starred_by_score(distribution: DataFrame) -> DataFrame:
+    """Stars in the order of ``source_rank``."""
+    return starred_names(agentic_shares(distribution), _best_source_first())
+
+
 def run_rank(wide: DataFrame) -> DataFrame:
     """Runs by their agentic mean, best first, missing means last."""
     order = [F.col("agentic_rag").desc_nulls_last(), F.col("file_name").asc()]
     return number_rows(wide, order, into="rank")
 
 
-def source_rank(distribution: DataFrame) -> DataFrame:
-    """Sources by their agentic share of correct answers; a missing share counts -1."""
+def agentic_shares(distribution: DataFrame) -> DataFrame:
+    """Each source's agentic share of correct answers; a missing share counts -1."""
     agentic = F.max(
         F.when(F.col("system_type") == SYSTEM_LABELS["agentic_rag"], F.col("correct"))
     )
-    per_source = distribution.groupBy("source", "model_name").agg(
+    return distribution.groupBy("source", "model_name").agg(
         F.coalesce(agentic, F.lit(-1.0)).alias("agentic_correct")
     )
-    return number_rows(per_source, [F.col("agentic_correct").desc(), F.col("source").asc()], into="rank")
+
+
+def _best_source_first() -> list[Column]:
+    return [F.col("agentic_correct").desc(), F.col("source").asc()]
+
+
+def source_rank(distribution: DataFrame) -> DataFrame:
+    """Sources by their agentic share of correct answers, best first."""
+    return number_rows(agentic_shares(distribution), _best_source_first(), into="rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.text import (
     coerce_score,
+    is_failed_answer,
     normalise_score,
     verdict_feedback,
     verdict_score_text,
@@ -24,28 +25,31 @@ def parse_verdicts(texts: DataFrame, text: str = "cleaned", on_missing: str = "f
     )
 
 
-def attach_verdicts(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Answers with their latest verdict; verdicts without an answer fall away.
+VERDICT_FIELDS = ("eval_score_LLM_judge", "eval_feedback_LLM_judge")
+
+
+def attach_verdicts(answers: DataFrame, verdicts: DataFrame, fields=VERDICT_FIELDS) -> DataFrame:
+    """Answers with the ``fields`` of their latest verdict; stray verdicts fall away.
 
     Verdicts shrink to one row per key before the join, so repeats of one key are
     folded map-side and both join sides are unique on the key.
     """
-    latest = verdicts.groupBy(*ANSWER_KEY).agg(
-        F.max(F.struct("seq", "eval_score_LLM_judge", "eval_feedback_LLM_judge")).alias("v")
-    )
-    return answers.join(
-        latest.select(*ANSWER_KEY, "v.eval_score_LLM_judge", "v.eval_feedback_LLM_judge"),
-        ANSWER_KEY,
-        "left",
-    )
+    latest = verdicts.groupBy(*ANSWER_KEY).agg(F.max(F.struct("seq", *fields)).alias("v"))
+    return answers.join(latest.select(*ANSWER_KEY, *[f"v.{f}" for f in fields]), ANSWER_KEY, "left")
 
 
-def score(attached: DataFrame) -> DataFrame:
-    """Add the normalised score (a double, as its name does not say)."""
+def score(answers: DataFrame, verdicts: DataFrame, fields=VERDICT_FIELDS) -> DataFrame:
+    """Answers with verdict and normalised score (a double, as its name does not say).
+
+    Whether an answer failed is settled before the join: a reader that wants scores
+    only then shuffles that flag and not the answers' text.
+    """
+    flagged = answers.withColumn("_failed", is_failed_answer(F.col("generated_answer")))
+    attached = attach_verdicts(flagged, verdicts, fields)
     return attached.withColumn(
         "eval_score_LLM_judge_int",
-        normalise_score(coerce_score(F.col("eval_score_LLM_judge")), F.col("generated_answer")),
-    )
+        normalise_score(coerce_score(F.col("eval_score_LLM_judge")), F.col("_failed")),
+    ).drop("_failed")
 
 
 def scoreboard(scored: DataFrame, by: list[str] = ("run_id", "system_type")) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evalweave.functions.prompts import context_conversation, judge_conversation, vanilla_conversation
 from evalweave.operators.inference import AnswerFn, attach_answers, run_batch
 from evalweave.operators.sampling import remaining_items
-from evalweave.operators.scoring import attach_verdicts, parse_verdicts, score
+from evalweave.operators.scoring import parse_verdicts, score
 from evalweave.plans.retrieval import best_keywords, retrieve
 from evalweave.sources.state import latest_per_key, run_phase
 from evalweave.session import path_exists
@@ -114,7 +114,7 @@ def evaluate(
         )
 
     verdicts = phase("judge", VERDICTS, judged)
-    return score(attach_verdicts(answers, verdicts))
+    return score(answers, verdicts)
 
 
 def resume_answers(

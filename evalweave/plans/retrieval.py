@@ -13,8 +13,7 @@ from evalweave.functions.prompts import STOP_PHRASE
 from evalweave.functions.text import strip
 from evalweave.operators.embedding import embed_hashed
 from evalweave.operators.similarity import top_k
-from evalweave.session import checkpointed, written
-from evalweave.sources.tables import small
+from evalweave.session import written
 
 CHUNK_KEYS = ["doc_id", "chunk_idx"]
 
@@ -53,12 +52,12 @@ def retrieve(
 ) -> DataFrame:
     """One context per query of ``query_id, query, k``; pass ``max_k`` if no k exceeds it.
 
-    Hit keys are checkpointed before they fetch their text: scoring then runs once,
-    and their number decides whether they are broadcast to the index scan.
+    Hit keys are written before they fetch their text: scoring then runs once, and the
+    size of what was written decides whether it is broadcast to the index scan.
     """
     checked = validated_queries(queries, default_k)
-    hits = checkpointed(ranked_hits(checked, index, threshold, embed, max_k, **top_k_options))
-    texts = index.select(*CHUNK_KEYS, "source", "content").join(small(hits), CHUNK_KEYS)
+    hits = written(ranked_hits(checked, index, threshold, embed, max_k, **top_k_options), "hits")
+    texts = index.select(*CHUNK_KEYS, "source", "content").join(hits, CHUNK_KEYS)
     return assemble_contexts(checked, texts, max_content)
 
 

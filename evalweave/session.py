@@ -57,17 +57,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return shared_path(spark, "scratch", f"{label}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later plans read the written rows."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_path(spark, "checkpoints"))
-    return df.checkpoint()
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to a fresh Parquet table in the shared folder and read back."""
+    """``df`` written to a fresh Parquet table in the shared folder and read back.
+
+    Cuts lineage at a table that outlives lost executors, is read column by column,
+    and has a known size: the planner broadcasts it in a join only if that is small.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,11 +17,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is.
-
-    The check reads ``df``, so pass a written or checkpointed one.
-    """
-    return df.hint("broadcast") if df.limit(max_rows + 1).count() <= max_rows else df

@@ -12,6 +12,7 @@ from evalweave.schemas import LANDED_ANSWER, STREAM_INDEX
 from evalweave.session import is_folder, path_exists
 from evalweave.sources.index_store import IndexConfig, embed, index_chunks, unseen_chunks
 from evalweave.sources.state import latest_per_key
+from evalweave.sources.tables import spread
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100, **options) -> DataFrame:
@@ -45,7 +46,7 @@ def _land(rows: DataFrame, path: str, batch_id: int) -> None:
 def ingest_documents(batch: DataFrame, batch_id: int, path: str, config: IndexConfig) -> None:
     """Chunk a micro-batch, keep contents the index lacks, embed and land them."""
     spark = batch.sparkSession
-    unique = unique_chunks(index_chunks(batch, config)).persist()
+    unique = unique_chunks(index_chunks(spread(batch), config)).persist()
     try:
         fresh = unique
         if path_exists(spark, path):
