@@ -24,7 +24,7 @@ from evalweave.operators.similarity import top_k
 from evalweave.plans import evaluation, retrieval
 from evalweave.session import scratch_path, shared_path
 from evalweave.sources import index_store, state
-from evalweave.sources.tables import table
+from evalweave.sources.tables import table, table_version
 from evalweave.streaming import ingest
 
 CONFIG = index_store.IndexConfig()
@@ -33,7 +33,7 @@ CONFIG = index_store.IndexConfig()
 def _index(spark, d):
     """The index of the corpus in ``d``, built by the first query that asks for it."""
     docs = inputs.spread_corpus(spark, d)
-    path = shared_path(spark, "indexes", CONFIG.key(d))
+    path = shared_path(spark, "indexes", CONFIG.key(table_version(spark, d, "documents")))
     return index_store.build_or_load_index(docs, path, CONFIG)
 
 
@@ -424,6 +424,15 @@ def resume_run(spark, d):
     return full.select("idx", "question", F.col("answer").alias("true_answer"), "generated_answer")
 
 
+@query("agentic_run", _FIRST_HIT)
+def agentic_run(spark, d):
+    """One call per question, failed ones tried again, attempts folded into answers."""
+    items = inputs.eval_items(spark, d)
+    index = _index(spark, d)
+    found = evaluation.answer_with_retries(items, lambda rows: evaluation.context_prompts(rows, index, 7))
+    return found.select("idx", "question", F.col("answer").alias("true_answer"), "generated_answer")
+
+
 def _words_sql(expr: str) -> str:
     return f"list_distinct(list_filter(string_split_regex({expr}, '[[:space:]]+'), lambda w: w <> ''))"
 
@@ -448,11 +457,32 @@ def full_evaluation(spark, d):
     """All phases from questions to the mean score of each system."""
     items = inputs.eval_items(spark, d)
     root = scratch_path(spark, "evaluation")
-    key = state.run_key(model="extractive", judge="overlap", index=CONFIG.key(d), k=evaluation.CONTEXT_K)
+    key = state.run_key(model="extractive", judge="overlap", index=CONFIG.key(table_version(spark, d, "documents")), k=evaluation.CONTEXT_K)
     scored = evaluation.evaluate(items, _index(spark, d), root, key)
     return scoreboard(scored, ["system_type"]).withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query(
+    "judge_run",
+    sql(
+        f"""SELECT system_type, doc_id // 3 AS idx, CASE WHEN share >= 0.5 THEN '3' WHEN share >= 0.2 THEN '2' ELSE '1' END AS score
+        FROM (SELECT doc_id, system_type, len(list_intersect({_words_sql("coalesce(generated_answer, 'None')")}, {_words_sql('true_answer')}))
+          / greatest(len({_words_sql('true_answer')}), 1) AS share
+          FROM (SELECT doc_id, system_type, text AS true_answer, generated_answer FROM answers JOIN documents ON
+            doc_id = CAST(substr(run_id, 4) AS BIGINT) * 60 + idx * 3
+              + CASE system_type WHEN 'agentic_rag' THEN 0 WHEN 'standard_rag' THEN 1 ELSE 2 END))""",
+        "answers",
+    ),
+)
+def judge_run(spark, d):
+    """Answers judged in two sittings: the second starts where the first stopped."""
+    answers = inputs.answers_of_one_run(spark, d)
+    log = scratch_path(spark, "verdict-log")
+    evaluation.resume_verdicts(answers.where("system_type = 'agentic_rag'"), log)
+    verdicts = evaluation.resume_verdicts(answers, log)
+    return verdicts.select("system_type", "idx", F.col("eval_score_LLM_judge").alias("score"))
+
+
 # --- streams ---------------------------------------------------------------------
 
 

@@ -72,6 +72,12 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def answers_of_one_run(spark: SparkSession, d: str) -> DataFrame:
+    """All answers as those of a single run, numbered without gaps per system."""
+    number = F.regexp_replace("run_id", "run", "").cast("bigint") * (DOCS_PER_RUN // 3)
+    return answers(spark, d).withColumn("idx", F.col("idx") + number).drop("run_id")
+
+
 def model_texts(spark: SparkSession, d: str) -> DataFrame:
     """What a judge said about each answer, in all the shapes judges are known for."""
     docs = table(spark, d, "documents").select("doc_id")

@@ -455,7 +455,7 @@ def timing_pairs(spark, d):
     ),
 )
 def resolve(spark, d):
-    return resolve_attempts(inputs.attempts(spark, d), agent_timeout=60.0)
+    return resolve_attempts(inputs.attempts(spark, d), agent_timeout=60.0).drop("solved")
 
 
 @query(

@@ -39,4 +39,5 @@ def resolve_attempts(
         (F.coalesce(F.col("first_good.attempt"), F.col("last_bad.attempt")) + 1)
         .cast("bigint")
         .alias("n_attempts"),
+        F.col("first_good").isNotNull().alias("solved"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,36 +53,45 @@ def run_batch(
 
     ``load`` runs once per task. If a batch fails its rows are tried one by one, and a
     row that fails keeps its message in ``error`` while the others get answers.
+    ``elapsed_s`` is the time of the call a row was in.
     """
     load = load or extractive_model
     keys = [f for f in prompts.schema.fields if f.name != "messages"]
     schema = T.StructType(
-        [*keys, T.StructField("raw_answer", T.StringType()), T.StructField("error", T.StringType())]
+        [
+            *keys,
+            T.StructField("raw_answer", T.StringType()),
+            T.StructField("error", T.StringType()),
+            T.StructField("elapsed_s", T.DoubleType()),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = load()
 
-        def tried(part: list[Conversation]) -> list[tuple[str | None, str | None]]:
+        def tried(part: list[Conversation]) -> list[tuple[str | None, str | None, float]]:
+            start = time.monotonic()
             try:
-                return [(str(a), None) for a in answer(part)]
+                answers = answer(part)
+                return [(str(a), None, time.monotonic() - start) for a in answers]
             except Exception as failure:
                 if len(part) == 1:
-                    return [(None, str(failure))]
+                    return [(None, str(failure), time.monotonic() - start)]
                 return [tried([c])[0] for c in part]
 
         for batch in batches:
             conversations = batch.column("messages").to_pylist()
-            done: list[tuple[str | None, str | None]] = []
+            done: list[tuple[str | None, str | None, float]] = []
             for lo in range(0, len(conversations), batch_size):
                 done += tried(conversations[lo : lo + batch_size])
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(f.name) for f in keys],
-                    pa.array([a for a, _ in done], pa.string()),
-                    pa.array([e for _, e in done], pa.string()),
+                    pa.array([a for a, _, _ in done], pa.string()),
+                    pa.array([e for _, e, _ in done], pa.string()),
+                    pa.array([s for _, _, s in done], pa.float64()),
                 ],
-                names=[*[f.name for f in keys], "raw_answer", "error"],
+                names=[*[f.name for f in keys], "raw_answer", "error", "elapsed_s"],
             )
 
     answered = prompts.mapInArrow(run, schema)

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.prompts import context_conversation, judge_conversation, vanilla_conversation
+from evalweave.operators.attempts import resolve_attempts
 from evalweave.operators.inference import AnswerFn, attach_answers, run_batch
+from evalweave.operators.runlog import stop_after_errors
 from evalweave.operators.sampling import remaining_items
 from evalweave.operators.scoring import parse_verdicts, score
 from evalweave.plans.retrieval import best_keywords, retrieve
-from evalweave.sources.state import latest_per_key, run_phase
-from evalweave.session import path_exists
+from evalweave.session import path_exists, written
+from evalweave.sources.state import latest_per_key, load_system_results, run_phase
 
 CONTEXT_K = 5
 ANSWERS = (
@@ -109,7 +111,7 @@ def evaluate(
 
     def judged() -> DataFrame:
         texts = run_batch(judge_prompts(answers, ["run_id", "system_type", "idx"]), load_judge)
-        return parse_verdicts(texts.drop("error"), "generated_answer").withColumn(
+        return parse_verdicts(texts.drop("error", "elapsed_s"), "generated_answer").withColumn(
             "seq", F.lit(0).cast("bigint")
         )
 
@@ -117,6 +119,76 @@ def evaluate(
     return score(answers, verdicts)
 
 
+def answer_with_retries(
+    items: DataFrame,
+    prompts_for: Callable[[DataFrame], DataFrame],
+    load_model: Callable[[], AnswerFn] | None = None,
+    agent_timeout: float = 360.0,
+    max_retries: int = 2,
+) -> DataFrame:
+    """Answer items one call each, trying failed ones again up to ``max_retries`` times.
+
+    Attempts are written round by round; a later round prompts only the items still
+    without a good attempt. Items that never get one answer with their last error.
+    """
+    prompts = written(prompts_for(items), "prompts")
+    attempts: DataFrame | None = None
+    for attempt in range(max_retries + 1):
+        if attempt:
+            settled = resolve_attempts(attempts, agent_timeout, max_retries).where("solved")
+            todo = prompts.join(settled.select("idx"), "idx", "left_anti")
+            if todo.isEmpty():
+                break
+        else:
+            todo = prompts
+        tried = written(
+            run_batch(todo, load_model, batch_size=1).select(
+                "idx",
+                F.lit(attempt).cast("bigint").alias("attempt"),
+                "elapsed_s",
+                F.col("generated_answer").alias("answer"),
+                "error",
+            ),
+            f"attempt-{attempt}",
+        )
+        attempts = tried if attempts is None else attempts.unionByName(tried)
+    answers = resolve_attempts(attempts, agent_timeout, max_retries)
+    return items.join(answers.drop("solved"), "idx")
+
+
+def resume_verdicts(
+    answers: DataFrame,
+    verdict_log: str,
+    load_judge: Callable[[], AnswerFn] | None = None,
+    max_consecutive_errors: int = 3,
+) -> DataFrame:
+    """Judge the answers the log lacks, append the verdicts, return all logged ones.
+
+    Verdicts without a result mark are null. Judging stops for good after
+    ``max_consecutive_errors`` errors in a row: verdicts past that point are not
+    logged and will be asked for again.
+    """
+    spark = answers.sparkSession
+    schema = (
+        "idx BIGINT, is_error BOOLEAN, eval_score_LLM_judge STRING, "
+        "eval_feedback_LLM_judge STRING, system_type STRING"
+    )
+    logged = load_system_results(spark, verdict_log, schema)
+    todo = answers.join(logged.select("system_type", "idx"), ["system_type", "idx"], "left_anti")
+    texts = run_batch(judge_prompts(todo, ["system_type", "idx"]), load_judge)
+    judged = written(
+        parse_verdicts(
+            texts.select("system_type", "idx", F.col("error").isNotNull().alias("is_error"), "generated_answer"),
+            "generated_answer",
+            on_missing="null",
+        ),
+        "verdicts",
+    )
+    kept = stop_after_errors(judged, max_consecutive_errors)
+    kept.write.mode("append").partitionBy("system_type").parquet(verdict_log)
+    return load_system_results(spark, verdict_log, schema)
+
+
 def resume_answers(
     items: DataFrame,
     answer_log: str,

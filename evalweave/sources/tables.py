@@ -9,6 +9,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_version(spark: SparkSession, folder: str, name: str) -> str:
+    """Size, file count and time of a stored table: changes when the table does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    content = fs.getContentSummary(path)
+    changed = fs.getFileStatus(path).getModificationTime()
+    return f"{path}:{content.getLength()}:{content.getFileCount()}:{changed}"
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a scan with fewer tasks than cores before heavy per-row work.
 

@@ -48,6 +48,7 @@ def ingest_documents(batch: DataFrame, batch_id: int, path: str, config: IndexCo
     spark = batch.sparkSession
     unique = unique_chunks(index_chunks(spread(batch), config)).persist()
     try:
+        unique.count()  # with its size known, a small batch is broadcast to the index scan
         fresh = unique
         if path_exists(spark, path):
             # A replayed batch must not meet its own rows.
