@@ -31,17 +31,25 @@ def bucket_counts(text: Column, dim: int = DIM) -> Column:
         tokens(text),
         lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim,
     )
-    # Sorted together with one of each bucket, a bucket's words lie between its first
-    # place and the next bucket's. The one-element array binds the sorted list once.
+    # Sorted together with one of each bucket, a bucket's words lie between the place
+    # where its run starts and the start of the next. One-element arrays bind a value
+    # once for use inside a lambda.
     ordered = F.sort_array(F.concat(hashed, F.sequence(F.lit(0), F.lit(dim))))
-    counted = F.transform(
+    starts = F.transform(
         F.array(ordered),
-        lambda at: F.transform(
+        lambda at: F.filter(
+            F.sequence(F.lit(0), F.size(at) - 1),
+            lambda i: ~F.get(at, i).eqNullSafe(F.get(at, i - 1)),
+        ),
+    )
+    counts = F.transform(
+        starts,
+        lambda start: F.transform(
             F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda b: (F.array_position(at, b + 1) - F.array_position(at, b) - 1).cast("float"),
+            lambda b: (F.get(start, b + 1) - F.get(start, b) - 1).cast("float"),
         ),
     )
-    return F.get(counted, F.lit(0))
+    return F.get(counts, F.lit(0))
 
 
 def l2_normalised(vector: Column) -> Column:

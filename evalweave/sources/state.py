@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.session import path_exists
@@ -29,16 +29,17 @@ def save_phase(
     once its rows are committed.
     """
     spark = results.sparkSession
-    rows = results.withColumns({"run_key": F.lit(key), "phase": F.lit(phase)})
+    counted = Observation()
+    rows = results.observe(counted, F.count(F.lit(1)).alias("n_rows"))
     (
-        rows.write.mode("overwrite")
+        rows.withColumns({"run_key": F.lit(key), "phase": F.lit(phase)})
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_key", "phase")
         .parquet(f"{root}/results")
     )
-    n_rows = _phase_rows(spark, results, root, key, phase).count()
     entry = spark.createDataFrame(
-        [(key, phase, n_rows, dict(timing or {}))],
+        [(key, phase, counted.get["n_rows"], dict(timing or {}))],
         "run_key STRING, phase STRING, n_rows BIGINT, timing MAP<STRING, DOUBLE>",
     ).withColumn("saved_at", F.current_timestamp())
     (
@@ -50,14 +51,6 @@ def save_phase(
     )
 
 
-def _phase_rows(spark: SparkSession, like: DataFrame, root: str, key: str, phase: str) -> DataFrame:
-    return (
-        spark.read.schema(like.schema)
-        .parquet(f"{root}/results/run_key={key}/phase={phase}")
-        .select(*like.columns)
-    )
-
-
 def load_phase(
     spark: SparkSession, root: str, key: str, phase: str, schema: str
 ) -> tuple[DataFrame, dict[str, float]] | None:

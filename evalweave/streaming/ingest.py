@@ -12,7 +12,7 @@ from evalweave.schemas import LANDED_ANSWER, STREAM_INDEX
 from evalweave.session import is_folder, path_exists
 from evalweave.sources.index_store import IndexConfig, embed, index_chunks, unseen_chunks
 from evalweave.sources.state import latest_per_key
-from evalweave.sources.tables import spread
+from evalweave.sources.tables import SCHEMAS, spread
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100, **options) -> DataFrame:
@@ -26,7 +26,7 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
     """A stored table as a stream of its files, whether it is a folder or a single file."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    schema = SCHEMAS[name]
     if is_folder(spark, f"{folder}/{name}.parquet"):
         return file_stream(spark, f"{folder}/{name}.parquet", schema, files_per_batch)
     return file_stream(spark, folder, schema, files_per_batch, pathGlobFilter=f"{name}.parquet")
