@@ -149,7 +149,7 @@ _CTES["contexts"] = (("ranked", "uniq", "item_queries"), f"""SELECT query_id AS
     "string_agg('=== Document ' || rn || ' ===' || chr(10) || coalesce('Source: ' || source || chr(10), '') || content || chr(10), chr(10) ORDER BY rn)"
     )} AS context
     FROM ranked JOIN uniq USING (doc_id, chunk_idx) JOIN item_queries USING (query_id) WHERE rn <= 5 GROUP BY query_id""")
-_CTES["centroid_cells"] = ((), """SELECT label AS query_id, d, avg(x) AS x FROM (
+_CTES["centroid_cells"] = ((), """SELECT CAST(label AS BIGINT) AS query_id, d, avg(x) AS x FROM (
     SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS d FROM embeddings) GROUP BY ALL""")
 _CTES["centroids"] = (("centroid_cells",), "SELECT query_id, list(x ORDER BY d) AS q FROM centroid_cells GROUP BY ALL")
 _CTES["near"] = (("centroids",), """SELECT query_id, vec_id, units / 1000000000 AS score,

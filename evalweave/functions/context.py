@@ -31,12 +31,22 @@ def validated_queries(queries: DataFrame, default_k: int = DEFAULT_K) -> DataFra
     )
 
 
-def hit_block(rank: Column, source: Column, content: Column, limit: int = MAX_CONTENT_CHARS) -> Column:
-    """One document of a context; the source line is left out where it is null."""
+# Labels of what a document's second line may tell about it.
+METADATA_LABELS = {"source": "Source: ", "title": "Title: ", "page": "Page: "}
+
+
+def hit_block(
+    rank: Column, content: Column, metadata: dict[str, Column], limit: int = MAX_CONTENT_CHARS
+) -> Column:
+    """One document of a context; what is not known about it is left out."""
+    known = F.concat_ws(
+        " | ",
+        *[F.concat(F.lit(METADATA_LABELS[name]), value.cast("string")) for name, value in metadata.items()],
+    )
     return F.concat_ws(
         "\n",
         F.format_string("=== Document %d ===", rank),
-        F.concat(F.lit("Source: "), source),
+        F.when(known != "", known),
         truncate_content(content, limit),
         F.lit(""),
     )
@@ -45,16 +55,15 @@ def hit_block(rank: Column, source: Column, content: Column, limit: int = MAX_CO
 def assemble_contexts(
     queries: DataFrame, hits: DataFrame, limit: int = MAX_CONTENT_CHARS
 ) -> DataFrame:
-    """One context per query from its ranked hits (``query_id, rn, source, content``).
+    """One context per query from its ranked hits (``query_id, rn, content``).
 
-    A query gathers at most its k hits, so the collected lists stay small.
+    Hits may also have ``source``, ``title`` and ``page``. A query gathers at most its
+    k hits, so the collected lists stay small.
     """
+    metadata = {name: F.col(name) for name in METADATA_LABELS if name in hits.columns}
+    block = hit_block(F.col("rn"), F.col("content"), metadata, limit)
     blocks = hits.groupBy("query_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("rn", hit_block(F.col("rn"), F.col("source"), F.col("content"), limit).alias("block"))
-            )
-        ).alias("blocks")
+        F.sort_array(F.collect_list(F.struct("rn", block.alias("block")))).alias("blocks")
     )
     found = strip(
         F.concat_ws(

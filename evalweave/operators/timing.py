@@ -51,17 +51,20 @@ def cached_timings(timings: DataFrame) -> DataFrame:
 def first_by_prefix(files: DataFrame, prefixes: list[str]) -> DataFrame:
     """Per prefix, the row whose file name sorts first among those starting with it.
 
-    Each row is matched against the prefix list where it stands, so the prefix match
-    is no join; the minimum is pre-aggregated by map tasks.
+    A name is cut once per distinct prefix length and looked up in the list, so the
+    match is no join and its cost does not grow with the number of prefixes. The
+    minimum is pre-aggregated by map tasks. ``n_files`` over 1 marks a prefix that
+    was ambiguous.
     """
-    wanted = F.array(*[F.lit(p) for p in prefixes])
-    matched = files.withColumn(
-        "prefix", F.explode(F.filter(wanted, lambda p: F.startswith(F.col("file_name"), p)))
+    heads = F.array_distinct(
+        F.array(*[F.substring("file_name", 1, n) for n in sorted({len(p) for p in prefixes})])
     )
+    matched = files.withColumn("prefix", F.explode(heads)).where(F.col("prefix").isin(*prefixes))
     first = matched.groupBy("prefix").agg(
-        F.min(F.struct("file_name", *[c for c in files.columns if c != "file_name"])).alias("f")
+        F.min(F.struct("file_name", *[c for c in files.columns if c != "file_name"])).alias("f"),
+        F.count(F.lit(1)).alias("n_files"),
     )
-    return first.select("prefix", "f.*")
+    return first.select("prefix", "f.*", "n_files")
 
 
 def require_prefixes(found: DataFrame, prefixes: list[str], where: str) -> None:

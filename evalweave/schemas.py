@@ -1,7 +1,5 @@
 """Explicit schemas; no reader in this package infers one."""
 
-from pyspark.sql import types as T
-
 SYSTEM_TYPES = ("agentic_rag", "standard_rag", "standard")
 
 SYSTEM_LABELS = {
@@ -16,11 +14,6 @@ INDEX = CHUNK + ", content_sha STRING, embedding ARRAY<FLOAT>"
 
 STREAM_INDEX = INDEX + ", batch_id BIGINT"
 
-ANSWER = (
-    "run_id STRING, system_type STRING, idx BIGINT, question STRING, "
-    "true_answer STRING, source_doc STRING, generated_answer STRING"
-)
-
 LANDED_ANSWER = (
     "idx BIGINT, seq BIGINT, question STRING, true_answer STRING, "
     "source_doc STRING, generated_answer STRING"
@@ -47,6 +40,11 @@ RUN_DOCUMENT = (
     + ", ".join(f"{name} ARRAY<{_RECORD_STRUCT}>" for name in SYSTEM_TYPES)
 )
 
+RUN_ENTRY = (
+    "run_id STRING, model_name STRING, timestamp STRING, num_questions BIGINT, "
+    f"timing STRUCT<{PHASE_TIMING}>, scores MAP<STRING, DOUBLE>, config MAP<STRING, STRING>"
+)
+
 API_DOCUMENT = (
     "timing STRUCT<agentic_rag_seconds: DOUBLE, standard_rag_seconds: DOUBLE, vanilla_seconds: DOUBLE>"
 )
@@ -54,9 +52,3 @@ API_DOCUMENT = (
 PHASE_DOCUMENT_TIMING = (
     "STRUCT<elapsed_time: DOUBLE, model_load_seconds: DOUBLE, server_startup_seconds: DOUBLE>"
 )
-
-CONVERSATION = T.ArrayType(
-    T.StructType(
-        [T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]
-    )
-)

@@ -30,7 +30,7 @@ def build_session(app: str = "evalweave", cpus: int = 8, **conf: str) -> SparkSe
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or else set on the context.
 
     A temporary folder stands in only for a local master that names none; on a
     cluster such a folder would be lost with its machine, so that is an error.
@@ -39,6 +39,8 @@ def shared_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir().rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = context.applicationId

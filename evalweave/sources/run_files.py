@@ -11,6 +11,7 @@ from evalweave.schemas import (
     API_DOCUMENT,
     PHASE_DOCUMENT_TIMING,
     RUN_DOCUMENT,
+    RUN_ENTRY,
     SCORED_RECORD,
     SYSTEM_TYPES,
 )
@@ -20,14 +21,14 @@ RESULT_ROWS = "run_id STRING, idx BIGINT, " + SCORED_RECORD + ", system_type STR
 
 # Time formats of stored runs.
 RUN_TIMESTAMP = "yyyyMMdd_HHmm"
-SUFFIX_TIMESTAMP = "MMdd_HHmm"
+SUFFIX_TIMESTAMP = "%m%d_%H%M"
 
 
 def free_path(spark: SparkSession, path: str, now: datetime | None = None) -> str:
     """``path``, or with a time suffix if something is stored there already."""
     if not path_exists(spark, path):
         return path
-    stamp = (now or datetime.now()).strftime("%m%d_%H%M")
+    stamp = (now or datetime.now()).strftime(SUFFIX_TIMESTAMP)
     folder, _, name = path.rpartition("/")
     stem, dot, suffix = name.rpartition(".")
     renamed = f"{stem}_{stamp}.{suffix}" if dot else f"{name}_{stamp}"
@@ -44,6 +45,29 @@ def save_results(scored: DataFrame, path: str) -> str:
     return target
 
 
+def save_run_entry(
+    spark: SparkSession,
+    path: str,
+    run_id: str,
+    model_name: str,
+    num_questions: int,
+    timing: dict,
+    scores: dict[str, float],
+    config: dict[str, str] | None = None,
+) -> None:
+    """Add one run to the table of runs, stamped with the current time."""
+    entry = spark.createDataFrame(
+        [(run_id, model_name, None, num_questions, timing, scores, config or {})], RUN_ENTRY
+    ).withColumn("timestamp", F.date_format(F.current_timestamp(), RUN_TIMESTAMP))
+    entry.coalesce(1).write.mode("append").json(path)
+
+
+def load_run_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The table of runs, without entries that name no model."""
+    entries = spark.read.schema(RUN_ENTRY).json(path)
+    return entries.where(F.col("model_name").isNotNull())
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_ROWS).json(path)
 

@@ -47,6 +47,19 @@ def test_query_validation(spark):
     assert rows[3].query == "q"
 
 
+def test_context_names_what_is_known_of_a_document(spark):
+    queries = spark.createDataFrame([(0, "q", None)], "query_id BIGINT, query STRING, query_error STRING")
+    hits = spark.createDataFrame(
+        [(0, 1, "src", "T", 4, "first"), (0, 2, None, None, None, "second"), (0, 3, None, "U", None, "third")],
+        "query_id BIGINT, rn INT, source STRING, title STRING, page INT, content STRING",
+    )
+    assert assemble_contexts(queries, hits).first().context == (
+        "Search Query: q\nRetrieved 3 relevant document(s):\n\n"
+        "=== Document 1 ===\nSource: src | Title: T | Page: 4\nfirst\n\n"
+        "=== Document 2 ===\nsecond\n\n=== Document 3 ===\nTitle: U\nthird"
+    )
+
+
 def test_context_layout(spark):
     queries = spark.createDataFrame(
         [(0, "q", None), (1, "none", None), (2, None, "Error: Query must be a non-empty string")],

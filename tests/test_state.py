@@ -102,6 +102,18 @@ def test_run_documents(spark, tmp_path):
     assert (times["b"].rag_seconds, times["b"].agentic_seconds, times["b"].judge_seconds) == (2.0, None, 4.0)
 
 
+def test_run_entries(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    timing = {"phase1": {"rag_batch_seconds": 2.0}, "phase3_judge_seconds": 1.0}
+    run_files.save_run_entry(spark, path, "r0", "M", 5, timing, {"standard": 50.0}, {"seed": "1"})
+    run_files.save_run_entry(spark, path, "r1", None, 5, {}, {})
+    row = run_files.load_run_entries(spark, path).collect()
+    assert [(r.run_id, r.timing.phase1.rag_batch_seconds, r.timing.phase2, r.scores) for r in row] == [
+        ("r0", 2.0, None, {"standard": 50.0})
+    ]
+    datetime.strptime(row[0].timestamp, "%Y%m%d_%H%M")
+
+
 def test_phase_and_answer_documents(spark, tmp_path):
     good, keyed, broken, plain = (tmp_path / n for n in ("good.json", "keyed.json", "broken.json", "plain.json"))
     good.write_text(json.dumps({"phase": "p", "results": [{"question": "q"}], "count": 1, "timing": {"elapsed_time": 2.5}}))
