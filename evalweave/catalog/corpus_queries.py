@@ -22,6 +22,7 @@ from evalweave.operators.inference import attach_answers, run_batch
 from evalweave.operators.scoring import scoreboard
 from evalweave.operators.similarity import top_k
 from evalweave.plans import evaluation, retrieval
+from evalweave.plans.retrieval import GOOD_HITS, GOOD_SCORE
 from evalweave.session import scratch_path, shared_path
 from evalweave.sources import index_store, state
 from evalweave.sources.tables import table, table_version
@@ -363,31 +364,46 @@ def context_assembly(spark, d):
     return context.assemble_contexts(queries, hits)
 
 
-GOOD_SCORE, GOOD_HITS = 0.72, 6
-
-
 def _round_sql(ranked: str, number: int, k: int) -> str:
     return f"""SELECT query_id AS idx, {number} AS round, {k} AS k, count(*) AS n_hits,
       count(*) FILTER (score >= {GOOD_SCORE}) AS n_good, max(score) AS best_score FROM {ranked} WHERE rn <= {k} GROUP BY query_id"""
 
 
+_ROUND_TABLES = {
+    "r1": (("ranked",), _round_sql("ranked", 1, 7)),
+    "r2": (("ranked",), _round_sql("ranked", 2, 10)),
+    "r3": (("short_ranked",), _round_sql("short_ranked", 3, 10)),
+    "kept": (
+        ("r1", "r2", "r3"),
+        f"""SELECT * FROM r1 WHERE n_good >= {GOOD_HITS}
+        UNION ALL SELECT * FROM r2 WHERE n_good >= {GOOD_HITS} AND idx NOT IN (SELECT idx FROM r1 WHERE n_good >= {GOOD_HITS})
+        UNION ALL SELECT * FROM r3 WHERE idx NOT IN (SELECT idx FROM r1 WHERE n_good >= {GOOD_HITS})
+          AND idx NOT IN (SELECT idx FROM r2 WHERE n_good >= {GOOD_HITS})""",
+    ),
+    "closing": (
+        ("kept", "ranked", "short_ranked", "uniq"),
+        f"""SELECT idx, {strip_sql('content')} AS response FROM (
+          SELECT idx, doc_id, chunk_idx FROM kept JOIN ranked ON idx = query_id AND rn = 1 WHERE round < 3
+          UNION ALL SELECT idx, doc_id, chunk_idx FROM kept JOIN short_ranked ON idx = query_id AND rn = 1 WHERE round = 3)
+        JOIN uniq USING (doc_id, chunk_idx)""",
+    ),
+}
+
+
 @query(
     "refine_rounds",
     sql(
-        f""", r1 AS ({_round_sql('ranked', 1, 7)}), r2 AS ({_round_sql('ranked', 2, 10)}), r3 AS ({_round_sql('short_ranked', 3, 10)}),
-        kept AS (SELECT * FROM r1 WHERE n_good >= {GOOD_HITS}
-          UNION ALL SELECT * FROM r2 WHERE n_good >= {GOOD_HITS} AND idx NOT IN (SELECT idx FROM r1 WHERE n_good >= {GOOD_HITS})
-          UNION ALL SELECT * FROM r3 WHERE idx NOT IN (SELECT idx FROM r1 WHERE n_good >= {GOOD_HITS})
-            AND idx NOT IN (SELECT idx FROM r2 WHERE n_good >= {GOOD_HITS}))
-        SELECT idx, CAST(round AS BIGINT) AS round, CAST(k AS BIGINT) AS k, n_hits, n_good, round(best_score, 9) AS best_score,
+        f"""SELECT idx, CAST(round AS BIGINT) AS round, CAST(k AS BIGINT) AS k, n_hits, n_good, round(best_score, 9) AS best_score,
           CAST(n_good >= {GOOD_HITS} AS BIGINT) AS found FROM kept""",
-        "ranked",
-        "short_ranked",
+        "kept",
+        **_ROUND_TABLES,
     ),
 )
 def refine_rounds(spark, d):
-    outcome = retrieval.refine(inputs.eval_items(spark, d), _index(spark, d), GOOD_SCORE, GOOD_HITS)
-    return outcome.withColumn("best_score", F.round("best_score", 9))
+    outcomes, _ = retrieval.refine(inputs.eval_items(spark, d), _index(spark, d))
+    return outcomes.select(
+        F.col("query_id").alias("idx"), "round", "k", "n_hits", "n_good", F.round("best_score", 9).alias("best_score"), "found"
+    )
 
 
 # --- models and phases ------------------------------------------------------------
@@ -424,12 +440,20 @@ def resume_run(spark, d):
     return full.select("idx", "question", F.col("answer").alias("true_answer"), "generated_answer")
 
 
-@query("agentic_run", _FIRST_HIT)
+@query(
+    "agentic_run",
+    sql(
+        "SELECT i.idx, question, answer AS true_answer, response AS generated_answer FROM items i JOIN closing c ON i.idx = c.idx",
+        "items",
+        "closing",
+        **_ROUND_TABLES,
+    ),
+)
 def agentic_run(spark, d):
-    """One call per question, failed ones tried again, attempts folded into answers."""
+    """Refined searches, one call per question, failed ones tried again."""
     items = inputs.eval_items(spark, d)
     index = _index(spark, d)
-    found = evaluation.answer_with_retries(items, lambda rows: evaluation.context_prompts(rows, index, 7))
+    found = evaluation.answer_with_retries(items, lambda rows: evaluation.agentic_prompts(rows, index))
     return found.select("idx", "question", F.col("answer").alias("true_answer"), "generated_answer")
 
 
@@ -441,8 +465,9 @@ def _words_sql(expr: str) -> str:
     "full_evaluation",
     sql(
         f""", answered AS (
-          SELECT unnest(['agentic_rag', 'standard_rag']) AS system_type, 'ref ' || question AS reference, {strip_sql('content')} AS response
+          SELECT 'standard_rag' AS system_type, 'ref ' || question AS reference, {strip_sql('content')} AS response
             FROM items JOIN ranked ON idx = query_id AND rn = 1 JOIN uniq USING (doc_id, chunk_idx)
+          UNION ALL SELECT 'agentic_rag', 'ref ' || question, response FROM items i JOIN closing c ON i.idx = c.idx
           UNION ALL SELECT 'standard', 'ref ' || question, 'No supporting document.' FROM items),
         shares AS (SELECT *, len(list_intersect({_words_sql('response')}, {_words_sql('reference')}))
             / len({_words_sql('reference')}) AS share FROM answered)
@@ -451,6 +476,8 @@ def _words_sql(expr: str) -> str:
         "items",
         "ranked",
         "uniq",
+        "closing",
+        **_ROUND_TABLES,
     ),
 )
 def full_evaluation(spark, d):

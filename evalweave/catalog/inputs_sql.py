@@ -58,7 +58,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "verdicts": (("parsed",), f"""
       SELECT run_id, system_type, idx, 0 AS seq, eval_score_LLM_judge, eval_feedback_LLM_judge
         FROM parsed WHERE eval_feedback_LLM_judge IS NOT NULL
-      UNION ALL SELECT {_KEYS}, 1, '1', 'second look' FROM documents WHERE doc_id % 13 = 0
+      UNION ALL SELECT {_KEYS}, 1, '1', 'second look' FROM labels WHERE toxic = 1
       UNION ALL SELECT DISTINCT run_id, system_type, 1000000, 0, '3', 'orphan'
         FROM (SELECT {_KEYS} FROM documents)"""),
     "attached": (("answers", "verdicts"), """SELECT a.*, v.eval_score_LLM_judge, v.eval_feedback_LLM_judge

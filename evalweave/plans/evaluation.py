@@ -14,7 +14,7 @@ from evalweave.operators.inference import AnswerFn, attach_answers, run_batch
 from evalweave.operators.runlog import stop_after_errors
 from evalweave.operators.sampling import remaining_items
 from evalweave.operators.scoring import parse_verdicts, score
-from evalweave.plans.retrieval import best_keywords, retrieve
+from evalweave.plans.retrieval import refined_contexts, retrieve
 from evalweave.session import path_exists, written
 from evalweave.sources.state import latest_per_key, load_system_results, run_phase
 
@@ -36,13 +36,22 @@ def contexts_for(items: DataFrame, index: DataFrame, k: int = CONTEXT_K, **optio
     return retrieve(queries, index, max_k=k, **options).select(F.col("query_id").alias("idx"), "context")
 
 
-def context_prompts(items: DataFrame, index: DataFrame, k: int = CONTEXT_K) -> DataFrame:
-    contexts = contexts_for(items, index, k)
+def _with_context(items: DataFrame, contexts: DataFrame) -> DataFrame:
     return items.join(contexts, "idx").select(
         "idx", context_conversation(F.col("question"), F.col("context")).alias("messages")
     )
 
 
+def context_prompts(items: DataFrame, index: DataFrame, k: int = CONTEXT_K) -> DataFrame:
+    return _with_context(items, contexts_for(items, index, k))
+
+
+def agentic_prompts(items: DataFrame, index: DataFrame) -> DataFrame:
+    """Prompts with the context a refined search ends on."""
+    contexts = refined_contexts(items, index)
+    return _with_context(items, contexts.select(F.col("query_id").alias("idx"), "context"))
+
+
 def vanilla_prompts(items: DataFrame) -> DataFrame:
     return items.select("idx", vanilla_conversation(F.col("question")).alias("messages"))
 
@@ -86,7 +95,7 @@ def evaluate(
     """Scored answers of the three systems over ``items``.
 
     Each phase is stored under ``root`` and reused when the same ``key`` runs again.
-    The agentic system answers from the reduced question with more hits.
+    The agentic system answers from a refined search and tries failed calls again.
     """
     spark = items.sparkSession
 
@@ -101,12 +110,12 @@ def evaluate(
     standard = phase(
         "standard", ANSWERS, lambda: _answers(items, vanilla_prompts(items), "standard", load_model)
     )
-    reduced = items.withColumn("question", best_keywords(F.col("question")))
-    agentic = phase(
-        "agentic_rag",
-        ANSWERS,
-        lambda: _answers(items, context_prompts(reduced, index, 7), "agentic_rag", load_model),
-    )
+
+    def searched() -> DataFrame:
+        found = answer_with_retries(items, lambda rows: agentic_prompts(rows, index), load_model)
+        return attach_answers(items, found, "agentic_rag")
+
+    agentic = phase("agentic_rag", ANSWERS, searched)
     answers = agentic.unionByName(standard_rag).unionByName(standard).withColumn("run_id", F.lit(key))
 
     def judged() -> DataFrame:

@@ -77,27 +77,33 @@ def fewer_keywords(question: Column, min_chars: int = 5) -> Column:
 # Hits asked for, and keywords used, in successive rounds.
 SEARCH_ROUNDS = ((7, best_keywords), (10, best_keywords), (10, fewer_keywords))
 
+# When a search has found enough: this many hits of at least this score.
+GOOD_SCORE = 0.72
+GOOD_HITS = 6
+
 
 def refine(
     questions: DataFrame,
     index: DataFrame,
-    good_score: float,
-    good_hits: int,
+    good_score: float = GOOD_SCORE,
+    good_hits: int = GOOD_HITS,
     rounds=SEARCH_ROUNDS,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """Search again, with more hits or other keywords, until enough hits are good.
 
-    Each round is one job over the questions still open and is written before the
-    next starts, so no round repeats the work of earlier ones. Questions open after
-    the last round keep its result with ``found`` 0.
+    Returns one outcome per question and the hits of the round that closed it. Each
+    round is one job over the questions still open and is written before the next
+    starts, so no round repeats the work of earlier ones. Questions open after the
+    last round keep its result with ``found`` 0.
     """
     open_questions = questions.select(F.col("idx").alias("query_id"), "question")
-    closed: list[DataFrame] = []
+    outcomes: list[DataFrame] = []
+    hits_kept: list[DataFrame] = []
     for number, (k, keywords) in enumerate(rounds, 1):
         queries = validated_queries(
             open_questions.select("query_id", keywords(F.col("question")).alias("query"), F.lit(k).alias("k"))
         )
-        hits = ranked_hits(queries, index, max_k=k)
+        hits = written(ranked_hits(queries, index, max_k=k), f"hits-{number}")
         per_query = hits.groupBy("query_id").agg(
             F.count(F.lit(1)).alias("n_hits"),
             F.count(F.when(F.col("score") >= good_score, 1)).alias("n_good"),
@@ -105,7 +111,9 @@ def refine(
         )
         outcome = written(
             queries.join(per_query, "query_id", "left").select(
-                F.col("query_id").alias("idx"),
+                "query_id",
+                "query",
+                "query_error",
                 F.lit(number).cast("bigint").alias("round"),
                 F.col("k").cast("bigint").alias("k"),
                 F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
@@ -113,11 +121,22 @@ def refine(
                 "best_score",
                 (F.coalesce("n_good", F.lit(0)) >= good_hits).cast("bigint").alias("found"),
             ),
-            f"refine-{number}",
+            f"outcome-{number}",
         )
         last = number == len(rounds)
-        closed.append(outcome if last else outcome.where("found = 1"))
+        closed = outcome if last else outcome.where("found = 1")
+        outcomes.append(closed)
+        hits_kept.append(hits.join(closed.select("query_id"), "query_id", "left_semi"))
         if not last:
-            done = outcome.where("found = 1").select(F.col("idx").alias("query_id"))
-            open_questions = written(open_questions.join(done, "query_id", "left_anti"), f"open-{number}")
-    return reduce(DataFrame.unionByName, closed)
+            open_questions = written(
+                open_questions.join(closed.select("query_id"), "query_id", "left_anti"), f"open-{number}"
+            )
+    return reduce(DataFrame.unionByName, outcomes), reduce(DataFrame.unionByName, hits_kept)
+
+
+def refined_contexts(questions: DataFrame, index: DataFrame, max_content: int = MAX_CONTENT_CHARS) -> DataFrame:
+    """Contexts from the closing round of a refined search, one per question."""
+    outcomes, hits = refine(questions, index)
+    closing = written(hits, "closing-hits")
+    texts = index.select(*CHUNK_KEYS, "source", "content").join(closing, CHUNK_KEYS)
+    return assemble_contexts(outcomes.select("query_id", "query", "query_error"), texts, max_content)
