@@ -20,7 +20,10 @@ from evalweave.session import path_exists, written
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """Everything the content of an index depends on besides its corpus."""
+    """Everything the content of an index depends on besides its corpus.
+
+    Raise ``revision`` when a built-in chunker or embedder changes its results.
+    """
 
     chunker: str = "words"
     chunk_size: int = 200
@@ -29,9 +32,12 @@ class IndexConfig:
     dim: int = DIM
     batch_size: int = 100
     load_embedder: Callable | None = field(default=None, compare=False)
+    revision: int = 1
 
     def key(self, corpus: str) -> str:
-        parts = (corpus, self.chunker, self.chunk_size, self.chunk_overlap, self.embedder, self.dim)
+        parts = (
+            corpus, self.chunker, self.chunk_size, self.chunk_overlap, self.embedder, self.dim, self.revision
+        )
         return hashlib.sha256(repr(parts).encode()).hexdigest()
 
 
