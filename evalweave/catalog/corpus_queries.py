@@ -485,7 +485,7 @@ def full_evaluation(spark, d):
     items = inputs.eval_items(spark, d)
     root = scratch_path(spark, "evaluation")
     key = state.run_key(model="extractive", judge="overlap", index=CONFIG.key(table_version(spark, d, "documents")), k=evaluation.CONTEXT_K)
-    scored = evaluation.evaluate(items, _index(spark, d), root, key)
+    scored, _ = evaluation.evaluate(items, _index(spark, d), root, key)
     return scoreboard(scored, ["system_type"]).withColumn("accuracy", F.round("accuracy", 6))
 
 

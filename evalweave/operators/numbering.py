@@ -22,7 +22,8 @@ def number_rows(
     order, so a large group spreads over many sorted slabs. Each row's number is its
     place in its slab plus the size of the same group in earlier slabs. ``order_by``
     must end in a unique key. The sorted slabs are written: places and sizes have to
-    come from the same partitioning even when a task is run again.
+    come from the same partitioning even when a task is run again. Range partitioning
+    reads ``df`` twice, so pass a written table if it is costly to compute.
     """
     groups = list(within or [])
     spark = df.sparkSession

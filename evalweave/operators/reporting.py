@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalweave.operators.numbering import number_rows
 from evalweave.operators.scoring import scoreboard
 from evalweave.schemas import SYSTEM_LABELS, SYSTEM_TYPES
+from evalweave.session import written
 
 
 def system_label(system: Column) -> Column:
@@ -67,13 +68,13 @@ def starred_names(runs: DataFrame, order_by: list[Column]) -> DataFrame:
 
 def starred_by_score(distribution: DataFrame) -> DataFrame:
     """Stars in the order of ``source_rank``."""
-    return starred_names(agentic_shares(distribution), _best_source_first())
+    return starred_names(written(agentic_shares(distribution), "shares"), _best_source_first())
 
 
 def run_rank(wide: DataFrame) -> DataFrame:
     """Runs by their agentic mean, best first, missing means last."""
     order = [F.col("agentic_rag").desc_nulls_last(), F.col("file_name").asc()]
-    return number_rows(wide, order, into="rank")
+    return number_rows(written(wide, "run-means"), order, into="rank")
 
 
 def agentic_shares(distribution: DataFrame) -> DataFrame:
@@ -92,4 +93,4 @@ def _best_source_first() -> list[Column]:
 
 def source_rank(distribution: DataFrame) -> DataFrame:
     """Sources by their agentic share of correct answers, best first."""
-    return number_rows(agentic_shares(distribution), _best_source_first(), into="rank")
+    return number_rows(written(agentic_shares(distribution), "shares"), _best_source_first(), into="rank")

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 # Scores are compared as whole billionths, so equal ones tie on every engine.
 SCORE_UNIT = 10**9
+# Cells of one screening product, and pairs scored at a time.
 _CELLS = 4_000_000
+_PAIRS = 100_000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -47,24 +49,54 @@ def _keep_best(best: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
 
 
 def _merge_block(best, vectors: np.ndarray, keys: list[np.ndarray], queries: np.ndarray, k: int):
-    """Fold one block of vectors into the best rows so far."""
+    """Fold one block of vectors into the best rows so far.
+
+    A single-precision product screens the block: what cannot reach a query's k-th
+    best so far, even allowing for its rounding error, is dropped. Where that lets too
+    many through, the k-th best of the block itself screens once more. The rest is
+    scored in double precision, and of equal scores only smaller keys go on, so a
+    vector with countless copies does not pile up.
+    """
     query_norms = _norms(queries)
+    screen = (queries / query_norms[:, None]).astype(np.float32).T
+    slack = np.float32((queries.shape[1] + 8) * 2 * np.finfo(np.float32).eps)
     step = max(1, _CELLS // max(1, len(queries)))
     for lo in range(0, len(vectors), step):
         block = vectors[lo : lo + step]
-        dots = block @ queries.T
-        units = np.rint(dots / (_norms(block)[:, None] * query_norms[None, :]) * SCORE_UNIT).astype(np.int64)
-        if len(block) > k:
-            floor = np.partition(units, len(block) - k, axis=0)[len(block) - k]
-            row, query = np.nonzero(units >= floor[None, :])
-        else:
-            row, query = np.nonzero(np.ones_like(units, dtype=bool))
-        found = (query, units[row, query], *[key[lo : lo + step][row] for key in keys])
-        merged = found if best is None else tuple(np.concatenate(p) for p in zip(best, found))
-        best = _keep_best(merged, k)
+        norms = _norms(block)
+        floor, last_key = _floors(best, len(queries), k)
+        rough = (block / norms[:, None]).astype(np.float32) @ screen
+        reach = rough >= (floor / SCORE_UNIT).astype(np.float32) - slack
+        if len(block) > k and np.count_nonzero(reach) > 4 * k * len(queries):
+            reach &= rough >= np.partition(rough, len(block) - k, axis=0)[len(block) - k] - 2 * slack
+        row, query = np.nonzero(reach)
+        units = np.empty(len(row), np.int64)
+        for at in range(0, len(row), _PAIRS):
+            r, q = row[at : at + _PAIRS], query[at : at + _PAIRS]
+            dots = np.einsum("ij,ij->i", block[r], queries[q])
+            units[at : at + _PAIRS] = np.rint(dots / (norms[r] * query_norms[q]) * SCORE_UNIT)
+        first_key = keys[0][lo : lo + step][row]
+        better = (units > floor[query]) | ((units == floor[query]) & (first_key <= last_key[query]))
+        row, query, units = row[better], query[better], units[better]
+        if len(row):
+            found = (query, units, *[key[lo : lo + step][row] for key in keys])
+            best = _keep_best(found if best is None else tuple(np.concatenate(p) for p in zip(best, found)), k)
     return best
 
 
+def _floors(best, n_queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score and first key of each query's k-th best row; bounds nothing misses before that."""
+    floor = np.full(n_queries, -4 * SCORE_UNIT)
+    last_key = np.full(n_queries, np.iinfo(np.int64).max)
+    if best is not None:
+        query, units, first_key = best[:3]
+        last = np.r_[query[1:] != query[:-1], True]
+        full = last & (np.bincount(query, minlength=n_queries) >= k)[query]
+        floor[query[full]] = units[full]
+        last_key[query[full]] = first_key[full]
+    return floor, last_key
+
+
 def _rows(best, query_ids: np.ndarray, names: list[str]) -> pa.RecordBatch:
     query, score, *keys = best
     return pa.RecordBatch.from_arrays(

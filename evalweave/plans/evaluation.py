@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,11 +11,13 @@ from evalweave.functions.prompts import context_conversation, judge_conversation
 from evalweave.operators.attempts import resolve_attempts
 from evalweave.operators.inference import AnswerFn, attach_answers, run_batch
 from evalweave.operators.runlog import stop_after_errors
-from evalweave.operators.sampling import remaining_items
-from evalweave.operators.scoring import parse_verdicts, score
+from evalweave.operators.sampling import first_items, items_by_id, remaining_items
+from evalweave.operators.scoring import parse_verdicts, score, scoreboard
 from evalweave.plans.retrieval import refined_contexts, retrieve
 from evalweave.session import path_exists, written
-from evalweave.sources.state import latest_per_key, load_system_results, run_phase
+from evalweave.sources.index_store import IndexConfig, build_or_load_index
+from evalweave.sources.run_files import save_results, save_run_entry
+from evalweave.sources.state import latest_per_key, load_system_results, run_key, run_phase
 
 CONTEXT_K = 5
 ANSWERS = (
@@ -73,17 +74,6 @@ def _answers(items: DataFrame, prompts: DataFrame, system: str, load) -> DataFra
     return attach_answers(items, answered, system)
 
 
-def _timed(build: Callable[[], DataFrame]) -> Callable[[], tuple[DataFrame, dict[str, float]]]:
-    """Pair a phase's rows with its planning time; the write itself is timed by the caller."""
-
-    def run():
-        start = time.monotonic()
-        rows = build()
-        return rows, {"elapsed_time": time.monotonic() - start}
-
-    return run
-
-
 def evaluate(
     items: DataFrame,
     index: DataFrame,
@@ -91,16 +81,20 @@ def evaluate(
     key: str,
     load_model: Callable[[], AnswerFn] | None = None,
     load_judge: Callable[[], AnswerFn] | None = None,
-) -> DataFrame:
-    """Scored answers of the three systems over ``items``.
+) -> tuple[DataFrame, dict]:
+    """Scored answers of the three systems over ``items``, and the timing of the phases.
 
     Each phase is stored under ``root`` and reused when the same ``key`` runs again.
     The agentic system answers from a refined search and tries failed calls again.
     """
     spark = items.sparkSession
+    seconds: dict[str, float | None] = {}
+    reused: dict[str, bool] = {}
 
     def phase(name: str, schema: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return run_phase(spark, root, key, name, schema, _timed(build))[0]
+        rows, timing, reused[name] = run_phase(spark, root, key, name, schema, build)
+        seconds[name] = timing.get("elapsed_time")
+        return rows
 
     standard_rag = phase(
         "standard_rag",
@@ -125,7 +119,70 @@ def evaluate(
         )
 
     verdicts = phase("judge", VERDICTS, judged)
-    return score(answers, verdicts)
+    return score(answers, verdicts), _phase_timing(seconds, reused)
+
+
+def _phase_timing(seconds: dict[str, float | None], reused: dict[str, bool]) -> dict:
+    """Timing of a run; a phase stored without its time counts 0."""
+    taken = {name: round(value or 0.0, 2) for name, value in seconds.items()}
+    return {
+        "phase1": {
+            "model_load_seconds": 0.0,
+            "rag_batch_seconds": taken["standard_rag"],
+            "vanilla_batch_seconds": taken["standard"],
+            "cached": reused["standard_rag"] and reused["standard"],
+        },
+        "phase2": {
+            "server_startup_seconds": 0.0,
+            "agentic_batch_seconds": taken["agentic_rag"],
+            "cached": reused["agentic_rag"],
+        },
+        "phase3_judge_seconds": taken["judge"],
+        "total_seconds": round(sum(taken.values()), 2),
+    }
+
+
+def run_evaluation(
+    docs: DataFrame,
+    items: DataFrame,
+    root: str,
+    corpus: str,
+    model_name: str = "extractive",
+    judge_name: str = "overlap",
+    config: IndexConfig | None = None,
+    test: int = 0,
+    test_ids: list[int] | None = None,
+    load_model: Callable[[], AnswerFn] | None = None,
+    load_judge: Callable[[], AnswerFn] | None = None,
+) -> dict:
+    """Index, sample, run all phases, and store scored answers and the run's entry.
+
+    ``corpus`` names the corpus and its version, ``test`` keeps the first items, and
+    ``test_ids`` picks some by number. Returns scores, timing and where the answers
+    were stored.
+    """
+    spark = docs.sparkSession
+    config = config or IndexConfig()
+    index = build_or_load_index(docs, f"{root}/indexes/{config.key(corpus)}", config)
+    sample = items_by_id(items, test_ids) if test_ids else first_items(items, test)
+    key = run_key(
+        model=model_name, judge=judge_name, index=config.key(corpus), k=CONTEXT_K, test=test, test_ids=test_ids
+    )
+    scored, timing = evaluate(sample, index, f"{root}/phases", key, load_model, load_judge)
+    board = scoreboard(scored, ["system_type"]).collect()  # three systems, three rows
+    scores = {row["system_type"]: row["accuracy"] for row in board}
+    path = save_results(scored, f"{root}/results/{model_name.rsplit('/', 1)[-1]}_vect{config.chunk_size}")
+    save_run_entry(
+        spark,
+        f"{root}/runs",
+        key,
+        model_name,
+        max((row["n_answers"] for row in board), default=0),
+        timing,
+        scores,
+        {"judge": judge_name, "corpus": corpus},
+    )
+    return {"run_id": key, "scores": scores, "timing": timing, "path": path}
 
 
 def answer_with_retries(

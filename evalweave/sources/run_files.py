@@ -25,14 +25,19 @@ SUFFIX_TIMESTAMP = "%m%d_%H%M"
 
 
 def free_path(spark: SparkSession, path: str, now: datetime | None = None) -> str:
-    """``path``, or with a time suffix if something is stored there already."""
-    if not path_exists(spark, path):
-        return path
-    stamp = (now or datetime.now()).strftime(SUFFIX_TIMESTAMP)
+    """``path``, or with a time suffix if something is stored there already.
+
+    Several results of one minute are told apart by a further number.
+    """
     folder, _, name = path.rpartition("/")
-    stem, dot, suffix = name.rpartition(".")
-    renamed = f"{stem}_{stamp}.{suffix}" if dot else f"{name}_{stamp}"
-    return f"{folder}/{renamed}"
+    stem, dot, suffix = name.rpartition(".") if "." in name else (name, "", "")
+    stamp = (now or datetime.now()).strftime(SUFFIX_TIMESTAMP)
+    candidate, n = path, 1
+    while path_exists(spark, candidate):
+        number = "" if n == 1 else f"_{n}"
+        candidate = f"{folder}/{stem}_{stamp}{number}{dot}{suffix}"
+        n += 1
+    return candidate
 
 
 def save_results(scored: DataFrame, path: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,12 +22,18 @@ def run_key(**settings) -> str:
 
 
 def save_phase(
-    results: DataFrame, root: str, key: str, phase: str, timing: dict[str, float] | None = None
+    results: DataFrame,
+    root: str,
+    key: str,
+    phase: str,
+    timing: dict[str, float] | None = None,
+    started: float | None = None,
 ) -> None:
     """Store a phase's rows, replacing only that phase of that run.
 
     The one-row entry in ``meta`` follows the rows, so a phase counts as stored only
-    once its rows are committed.
+    once its rows are committed. ``started`` is a ``time.monotonic()`` value from
+    which the stored ``elapsed_time`` counts.
     """
     spark = results.sparkSession
     counted = Observation()
@@ -38,8 +45,11 @@ def save_phase(
         .partitionBy("run_key", "phase")
         .parquet(f"{root}/results")
     )
+    seconds = dict(timing or {})
+    if started is not None:
+        seconds["elapsed_time"] = time.monotonic() - started
     entry = spark.createDataFrame(
-        [(key, phase, counted.get["n_rows"], dict(timing or {}))],
+        [(key, phase, counted.get["n_rows"], seconds)],
         "run_key STRING, phase STRING, n_rows BIGINT, timing MAP<STRING, DOUBLE>",
     ).withColumn("saved_at", F.current_timestamp())
     (
@@ -74,17 +84,18 @@ def run_phase(
     key: str,
     phase: str,
     schema: str,
-    build: Callable[[], tuple[DataFrame, dict[str, float]]],
+    build: Callable[[], DataFrame],
 ) -> tuple[DataFrame, dict[str, float], bool]:
     """Rows and timing of a phase, computed and stored unless stored before.
 
-    Model calls happen in ``build``'s job only: later phases read what it stored.
+    Model calls happen in the job that stores ``build``'s rows only: later phases read
+    what it stored. The last value tells whether the phase was stored before.
     """
     stored = load_phase(spark, root, key, phase, schema)
     if stored is not None:
         return (*stored, True)
-    rows, timing = build()
-    save_phase(rows, root, key, phase, timing)
+    started = time.monotonic()
+    save_phase(build(), root, key, phase, started=started)
     return (*load_phase(spark, root, key, phase, schema), False)
 
 
