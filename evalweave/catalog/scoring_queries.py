@@ -15,7 +15,6 @@ from evalweave.functions.text import (
     is_failed_answer,
     is_leaked_plan,
     leak_error,
-    normalise_score,
     with_clean_text,
     wrap_label,
 )

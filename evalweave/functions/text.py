@@ -110,36 +110,29 @@ def with_clean_text(df: DataFrame, column: str, into: str = "cleaned") -> DataFr
     Adds ``into`` plus ``rule_think``, ``rule_process`` and ``rule_feedback``. Each
     rule is its own projection, so that no step is evaluated twice.
     """
-    t = F.col(into)
-    after_close = F.substring(
-        F.col(column),
-        F.instr(F.col(column), THINK_CLOSE) + len(THINK_CLOSE),
-        F.length(F.col(column)),
-    )
-    flagged = df.withColumn(
-        "rule_think",
-        F.coalesce(
-            F.col(column).contains(THINK_CLOSE) | F.col(column).contains(THINK_OPEN), F.lit(False)
-        ),
-    ).withColumn(
-        into,
-        F.substring_index(
-            F.when(F.col(column).contains(THINK_CLOSE), after_close).otherwise(F.col(column)),
-            THINK_OPEN,
-            1,
-        ),
-    )
-    flagged = flagged.withColumn(
-        "rule_process", F.coalesce(t.contains(PROCESS_MARK), F.lit(False))
+    t, raw = F.col(into), F.col(column)
+
+    def has(text: Column, mark: str) -> Column:
+        return F.coalesce(text.contains(mark), F.lit(False))
+
+    after_close = F.substring(raw, F.instr(raw, THINK_CLOSE) + len(THINK_CLOSE), F.length(raw))
+    opened = F.when(raw.contains(THINK_CLOSE), after_close).otherwise(raw)
+    unthought = df.withColumns(
+        {
+            "rule_think": has(raw, THINK_CLOSE) | has(raw, THINK_OPEN),
+            into: F.substring_index(opened, THINK_OPEN, 1),
+        }
     )
+
     # The marker whose last match ends latest leaves the fewest characters.
-    flagged = flagged.withColumn(
-        "_rest",
-        F.when(
-            F.col("rule_process"),
-            F.least(*[_chars_after_last_match(t, p) for p in FINAL_ANSWER_PATTERNS]),
-        ),
+    rest = F.least(*[_chars_after_last_match(t, p) for p in FINAL_ANSWER_PATTERNS])
+    measured = unthought.withColumns(
+        {
+            "rule_process": has(t, PROCESS_MARK),
+            "_rest": F.when(t.contains(PROCESS_MARK), rest),
+        }
     )
+
     paragraphs = F.filter(F.split(t, "\n\n"), lambda p: strip(p) != "")
     last_chars = F.substring(t, F.greatest(F.length(t) - (TAIL_CHARS - 1), F.lit(1)), F.lit(TAIL_CHARS))
     fallback = F.when(F.size(paragraphs) > 1, F.element_at(paragraphs, -1)).otherwise(last_chars)
@@ -149,13 +142,14 @@ def with_clean_text(df: DataFrame, column: str, into: str = "cleaned") -> DataFr
     ).otherwise(fallback)
     bullets = F.regexp_replace(strip(answer), "(?md)" + _jvm(r"^\s*\*\s*"), "")
     unwrapped = strip(F.regexp_replace(bullets, r"(?md)^\*(.*)\*$", "$1"))
-    flagged = flagged.withColumn(into, F.when(F.col("rule_process"), unwrapped).otherwise(t))
-    flagged = flagged.withColumn(
-        "rule_feedback", F.coalesce(t.contains(FEEDBACK_MARK), F.lit(False))
-    )
+    answered = measured.withColumn(into, F.when(F.col("rule_process"), unwrapped).otherwise(t))
+
     last_feedback = F.concat(F.lit(FEEDBACK_MARK), F.substring_index(t, FEEDBACK_MARK, -1))
-    return flagged.withColumn(
-        into, strip(F.when(F.col("rule_feedback"), last_feedback).otherwise(t))
+    return answered.withColumns(
+        {
+            "rule_feedback": has(t, FEEDBACK_MARK),
+            into: strip(F.when(t.contains(FEEDBACK_MARK), last_feedback).otherwise(t)),
+        }
     ).drop("_rest")
 
 
