@@ -23,11 +23,12 @@ def valid_k(k: Column, default: int = DEFAULT_K) -> Column:
 def validated_queries(queries: DataFrame, default_k: int = DEFAULT_K) -> DataFrame:
     """Trim queries, settle k, and mark blank queries with their error text."""
     query = F.col("query")
-    return queries.select(
-        "query_id",
-        strip(query).alias("query"),
-        valid_k(F.col("k"), default_k).alias("k"),
-        F.when(is_blank(query), F.lit(BLANK_QUERY_ERROR)).alias("query_error"),
+    return queries.withColumns(
+        {
+            "query": strip(query),
+            "k": valid_k(F.col("k"), default_k),
+            "query_error": F.when(is_blank(query), F.lit(BLANK_QUERY_ERROR)),
+        }
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,16 @@ def require_prefixes(found: DataFrame, prefixes: list[str], where: str) -> None:
         raise FileNotFoundError(f"no run file starts with {missing} in {where}")
 
 
+API_PARTS = ("agentic_rag_seconds", "standard_rag_seconds", "vanilla_seconds")
+
+
+def require_api_parts(api_runs: DataFrame) -> None:
+    """Raise if an API run lacks one of its three times; only local runs may lack parts."""
+    lacking = api_runs.where(reduce(or_, [F.col(part).isNull() for part in API_PARTS])).first()
+    if lacking is not None:
+        raise KeyError(f"{lacking['file_name']} lacks a time")
+
+
 def timing_pairs(local_runs: DataFrame, api_runs: DataFrame, prefixes: list[str]) -> DataFrame:
     """Minutes per system of the local and the API run of each model prefix."""
     local = first_by_prefix(local_runs, prefixes).select(

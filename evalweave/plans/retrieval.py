@@ -101,7 +101,7 @@ def refine(
     hits_kept: list[DataFrame] = []
     for number, (k, keywords) in enumerate(rounds, 1):
         queries = validated_queries(
-            open_questions.select("query_id", keywords(F.col("question")).alias("query"), F.lit(k).alias("k"))
+            open_questions.withColumns({"query": keywords(F.col("question")), "k": F.lit(k)})
         )
         hits = written(ranked_hits(queries, index, max_k=k), f"hits-{number}")
         per_query = hits.groupBy("query_id").agg(
@@ -112,6 +112,7 @@ def refine(
         outcome = written(
             queries.join(per_query, "query_id", "left").select(
                 "query_id",
+                "question",
                 "query",
                 "query_error",
                 F.lit(number).cast("bigint").alias("round"),
@@ -127,16 +128,12 @@ def refine(
         closed = outcome if last else outcome.where("found = 1")
         outcomes.append(closed)
         hits_kept.append(hits.join(closed.select("query_id"), "query_id", "left_semi"))
-        if not last:
-            open_questions = written(
-                open_questions.join(closed.select("query_id"), "query_id", "left_anti"), f"open-{number}"
-            )
+        open_questions = outcome.where("found = 0").select("query_id", "question")
     return reduce(DataFrame.unionByName, outcomes), reduce(DataFrame.unionByName, hits_kept)
 
 
 def refined_contexts(questions: DataFrame, index: DataFrame, max_content: int = MAX_CONTENT_CHARS) -> DataFrame:
     """Contexts from the closing round of a refined search, one per question."""
     outcomes, hits = refine(questions, index)
-    closing = written(hits, "closing-hits")
-    texts = index.select(*CHUNK_KEYS, "source", "content").join(closing, CHUNK_KEYS)
+    texts = index.select(*CHUNK_KEYS, "source", "content").join(hits, CHUNK_KEYS)
     return assemble_contexts(outcomes.select("query_id", "query", "query_error"), texts, max_content)

@@ -151,6 +151,13 @@ def test_first_file_by_prefix(spark):
         timing.require_prefixes(found, ["m1", "zz"], "here")
 
 
+def test_api_runs_need_all_times(spark):
+    schema = "file_name STRING, agentic_rag_seconds DOUBLE, standard_rag_seconds DOUBLE, vanilla_seconds DOUBLE"
+    timing.require_api_parts(spark.createDataFrame([("a.json", 1.0, 2.0, 3.0)], schema))
+    with pytest.raises(KeyError, match="b.json"):
+        timing.require_api_parts(spark.createDataFrame([("a.json", 1.0, 2.0, 3.0), ("b.json", 1.0, None, 3.0)], schema))
+
+
 def test_first_items_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "items")
     spark.range(100).select(F.col("id").alias("idx"), F.lit("q").alias("question")).write.parquet(path)
