@@ -26,8 +26,8 @@ def count_tokens(text: str) -> int:
 def word_chunks(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
     """Windows of ``size`` words, each sharing ``overlap`` words with the one before.
 
-    Built from array functions only, so no row leaves the JVM. Offsets come from the
-    lengths of the ``size - overlap`` word steps, each of which is measured once.
+    Built from array functions only, so no row leaves the JVM. Offsets are running
+    sums over the ``size - overlap`` word steps, each of which is measured once.
     """
     step = size - overlap
     words = F.split("text", " ")
@@ -35,16 +35,21 @@ def word_chunks(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFram
         "starts",
         F.sequence(F.lit(0), F.greatest(F.size("words") - overlap - 1, F.lit(0)), F.lit(step)),
     )
+    lengths = F.transform(
+        "starts", lambda s: F.length(F.array_join(F.slice("words", s + 1, step), " ")) + 1
+    )
     cut = cut.withColumn(
-        "steps",
-        F.transform(
-            "starts", lambda s: F.length(F.array_join(F.slice("words", s + 1, step), " ")) + 1
+        "offsets",
+        F.aggregate(
+            lengths,
+            F.array(F.lit(0)).cast("array<int>"),
+            lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n),
         ),
     )
     pieces = F.transform(
         "starts",
         lambda s, i: F.struct(
-            F.aggregate(F.slice("steps", F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("start_index"),
+            F.get("offsets", i).alias("start_index"),
             F.array_join(F.slice("words", s + 1, size), " ").alias("content"),
         ),
     )
