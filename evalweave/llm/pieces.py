@@ -15,7 +15,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 #: Characters cut and hashed at a time; bounds the arrays of a task.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _APOSTROPHE, _BLANK = 0x27, 0x20
