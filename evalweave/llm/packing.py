@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.pieces import byte_bpe
+from evalweave.llm.pieces import byte_bpe, row_slices
 from evalweave.session import written
 
 GAP, RUN = 0, 1
@@ -48,10 +48,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = byte_bpe(tokenizer), np.array([end_id], dtype="<u4")
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
+        for keys, texts in row_slices(batches):
             rows = []
-            for number, ids, *_ in encode(batch.column(1).to_pylist()):
+            for number, ids, *_ in encode(texts):
                 ids = np.concatenate((ids.astype("<u4"), end))
                 bounds = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 rows += [(keys[number], k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]

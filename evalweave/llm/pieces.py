@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
@@ -148,7 +149,7 @@ class PieceTable:
     by piece, and for each id its first and last character in the piece.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, ...]], bits: int = 20, most: int = 1_500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, ...]], bits: int = 19, most: int = 800_000) -> None:
         self.encode, self.bits, self.most = encode, bits, most
         self.clear()
 
@@ -198,6 +199,14 @@ class PieceTable:
         return shift + np.arange(len(shift)), counts
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, ...]]:
+    """Arrow batches as Python lists by column, a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield tuple(column.to_pylist() for column in part.columns)
+
+
 class ByteBpe:
     """Whole texts to the ids of a byte-level tokenizer file, merging each distinct piece once.
 

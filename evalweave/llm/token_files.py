@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.pieces import byte_bpe
+from evalweave.llm.pieces import byte_bpe, row_slices
 from evalweave.session import written
 
 #: Fixed values of the seekable format.
@@ -149,13 +149,12 @@ def _writer(tokenizer: str, folder: str, end_id: int, id_bytes: int, frame_bytes
         attempt = f"{name}.{uuid.uuid4().hex}"
         sink = writer = None
         end = np.array([end_id], dtype=np.uint32)
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            if keys and writer is None:
+        for keys, texts in row_slices(batches):
+            if writer is None:
                 fs.create_dir(base, recursive=True)
                 sink = fs.open_output_stream(attempt)
                 writer = FrameWriter(sink, id_bytes, frame_bytes)
-            for number, ids, *_ in encode(batch.column(1).to_pylist()):
+            for number, ids, *_ in encode(texts):
                 writer.add(keys[number], np.concatenate((ids, end)))
         if writer is not None:
             writer.close()
