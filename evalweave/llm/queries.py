@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import packing, token_files
+from evalweave.llm import bpe, packing, token_files
 from evalweave.session import scratch_path
 
 QUERIES = {}
@@ -33,3 +33,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     files = token_files.write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(files, emit=token_files.digest_rows, columns="n_tokens BIGINT, ids_crc32 BIGINT")
+
+
+@query
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), bpe.digests, "n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING")
