@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, packing, token_files
+from evalweave.llm import bpe, langid, packing, token_files
 from evalweave.session import scratch_path
 
 QUERIES = {}
@@ -39,3 +39,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), bpe.digests, "n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING")
+
+
+@query
+def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    profiles = langid.learn(docs.where("NOT held_out"))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
