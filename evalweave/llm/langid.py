@@ -2,7 +2,7 @@
 
 Every letter has a fixed random vector of +1 and -1, drawn from its code point. An
 n-gram binds its letters: the vectors are rotated by their place and multiplied. A text
-bundles (adds) its n-grams, counted within words that carry a blank on either side; a
+bundles (adds) its lower-cased n-grams, counted within words that carry a blank on either side; a
 language bundles its training texts. A text has the language whose prototype is nearest
 by cosine.
 
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, dims: int = DIMS, order: int = ORDER) -> Profiles:
         grams, vectors = _loaded(dims, order)
         sums: dict[str, np.ndarray] = {}
         for texts, names in row_slices(batches):
-            for part in slices(texts):
+            for part in slices([text.lower() for text in texts]):
                 codes, where, owner = grams(part)
                 if not len(codes):
                     continue
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 rows = batch.slice(at, 256)
                 texts = rows.column(place).to_pylist()
                 sums = np.zeros((len(texts), dims), dtype=np.float64)
-                for part in slices(["" if text is None else text for text in texts]):
+                for part in slices(["" if text is None else text.lower() for text in texts]):
                     codes, where, owner = grams(part)
                     if not len(codes):
                         continue
