@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, langid, packing, token_files
+from evalweave.llm import bpe, langid, packing, quality, token_files
 from evalweave.session import scratch_path
 
 QUERIES = {}
@@ -46,3 +46,10 @@ def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     profiles = langid.learn(docs.where("NOT held_out"))
     return langid.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.rate(docs, quality.fit(docs, ratings, grades=3), select_grade=2).drop("text")
