@@ -34,7 +34,7 @@ from evalweave.session import written
 
 GAP, RUN = 0, 1
 #: Open rows swept by one task.
-STRETCH_ROWS = 16_384
+STRETCH_ROWS = 65_536
 _SWEPT = "kind INT, id BIGINT, size BIGINT, state STRING, sequence BIGINT, offset BIGINT, part INT, place BIGINT"
 
 
@@ -152,7 +152,8 @@ def pack(items: DataFrame, capacity: int, stretch_rows: int = STRETCH_ROWS) -> D
         if facts.least is None:
             break
         order = (F.desc("size"), F.asc("kind"), F.asc("id"))
-        stretches = events.repartitionByRange(math.ceil(facts.n / stretch_rows), *order).sortWithinPartitions(*order)
+        parts = math.ceil(facts.n / stretch_rows)
+        stretches = (events.coalesce(1) if parts == 1 else events.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
         swept = written(stretches.mapInPandas(_sweeper(capacity), _SWEPT), "packing-swept")
         events, placed = _settle(swept, capacity, facts.least)
         done.append(placed)
