@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, langid, neighbours, packing, quality, token_files, topk
+from evalweave.llm import bpe, jaccard, langid, neighbours, packing, quality, token_files, topk
 from evalweave.session import scratch_path
 
 QUERIES = {}
@@ -80,3 +80,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 20
 """
+
+
+@query
+def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.link_documents(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", "n_shingles", "component_id")
