@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, jaccard, langid, neighbours, packing, quality, token_files, topk
+from evalweave.llm import bpe, jaccard, langid, lines, neighbours, packing, quality, token_counts, token_files, topk
 from evalweave.session import scratch_path
 
 QUERIES = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
@@ -41,6 +46,11 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), bpe.digests, "n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING")
 
 
+@query
+def op7_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
