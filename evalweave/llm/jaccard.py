@@ -40,8 +40,9 @@ SKETCH_BITS = 20
 SHORT_LIST = 8
 #: Postings of one bucket, and members of one block of a long list.
 BUCKET_ROWS, BLOCK_MEMBERS = 1_000_000, 2_048
-HISTOGRAM = 256
 _BLOCK_BITS = 14
+#: Bits of the filter of wanted documents; when it fills up, more texts are read again.
+FILTER_BITS = 1 << 24
 
 
 def required(n: np.ndarray, percent: int) -> np.ndarray:
@@ -55,6 +56,27 @@ def _class_of(elements: np.ndarray) -> tuple[int, int]:
     return int(first.sum(dtype=np.uint64).astype(np.int64)), int(second.sum(dtype=np.uint64).astype(np.int64))
 
 
+def histogram(elements: np.ndarray) -> bytes:
+    """How many elements end in each bit pattern, two to four by pattern; empty if a count exceeds a byte."""
+    cells = 1 << max(4, (len(elements) // 2).bit_length())
+    counts = np.bincount((elements & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """Histograms (the last axis) over fewer patterns."""
+    return counts.reshape(*counts.shape[:-1], -1, cells).sum(axis=-2, dtype=np.int32)
+
+
+def most_shared(left: bytes, right: bytes) -> int:
+    """No two sets with these histograms share more elements than this."""
+    if not left or not right:
+        return 1 << 62
+    x, y = np.frombuffer(left, dtype=np.uint8), np.frombuffer(right, dtype=np.uint8)
+    cells = min(len(x), len(y))
+    return int(np.minimum(folded(x, cells), folded(y, cells)).sum())
+
+
 def document_counts(texts: DataFrame) -> np.ndarray:
     """For each of 2^SKETCH_BITS cells, how many (document, shingle) pairs of ``texts`` fall in it."""
     cells = 1 << SKETCH_BITS
@@ -90,7 +112,7 @@ def document_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """row, doc_id, n, class and prefix names, and the prefix itself, for every row of ``docs``."""
+    """row, doc_id, n, class and prefix names, the prefix itself and a histogram, for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(document_counts(docs.select("text")))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,19 +123,19 @@ def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
                 n = len(elements)
                 size = n - int(required(np.int64(n), percent)) + 1 if n else 0
                 if not n:
-                    rows.append((key, 0, 0, 0, 0, 0, b""))
+                    rows.append((key, 0, 0, 0, 0, 0, b"", b""))
                     continue
                 rank = counts[(elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 edge = np.partition(rank, size - 1)[size - 1]
                 below = np.flatnonzero(rank <= edge)
                 chosen = below[np.argsort(rank[below], kind="stable")[:size]]  # elements ascend, so ties go by hash
                 first = elements[chosen]
-                rows.append((key, n, *_class_of(elements), *_class_of(first), first.astype("<u8").tobytes()))
-            names = ("doc_id", "n", "c1", "c2", "g1", "g2", "prefix")
-            types = (*(pa.int64(),) * 6, pa.binary())
+                rows.append((key, n, *_class_of(elements), *_class_of(first), first.astype("<u8").tobytes(), histogram(elements)))
+            names = ("doc_id", "n", "c1", "c2", "g1", "g2", "prefix", "histogram")
+            types = (*(pa.int64(),) * 6, pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), types)], names=names)
 
-    made = docs.select("doc_id", "text").mapInArrow(prefix, "doc_id BIGINT, n BIGINT, c1 BIGINT, c2 BIGINT, g1 BIGINT, g2 BIGINT, prefix BINARY")
+    made = docs.select("doc_id", "text").mapInArrow(prefix, "doc_id BIGINT, n BIGINT, c1 BIGINT, c2 BIGINT, g1 BIGINT, g2 BIGINT, prefix BINARY, histogram BINARY")
     return written(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-prefixes")
 
 
@@ -185,22 +207,69 @@ def _candidates(groups: DataFrame, postings: int, percent: int) -> DataFrame:
     return written(dealt.groupBy("bucket").applyInArrow(match, "list BIGINT, a BIGINT, b BIGINT").distinct(), "jaccard-candidates")
 
 
+def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and histograms allow them to be within t."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, left, right, n_left, n_right in row_slices(batches):
+            kept = [(100 + percent) * most_shared(x, y) >= percent * (n + m) for x, y, n, m in zip(left, right, n_left, n_right)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).filter(pa.array(kept))
+
+    one, two = (classes.select(F.col("cid").alias(side), F.col("histogram").alias(f"h_{side}"), F.col("n").alias(f"n_{side}")) for side in ("a", "b"))
+    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return sized.select("a", "b", "h_a", "h_b", "n_a", "n_b").mapInArrow(test, "a BIGINT, b BIGINT")
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """Bits of the values of ``ids`` (one column), as a table of fixed size."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[_filter_place(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "bits": [np.packbits(bits).tobytes()]})
+
+    def either(table: pa.Table) -> pa.Table:
+        out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for raw in table["bits"].to_pylist():
+            out |= np.frombuffer(raw, dtype=np.uint8)
+        return pa.table({"part": table["part"][:1], "bits": [out.tobytes()]})
+
+    schema = "part INT, bits BINARY"
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for row in ids.mapInArrow(mark, schema).groupBy("part").applyInArrow(either, schema).toLocalIterator():  # 64 at most
+        out |= np.frombuffer(row.bits, dtype=np.uint8)
+    return out
+
+
+def _filter_place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, n, elements and histogram of the ``classes`` (cid, doc_id, c1, c2), from the texts."""
+    """cid and elements of the ``classes`` (cid, doc_id, c1, c2), from the texts.
+
+    A filter of the wanted ids spares most other texts the second reading; the join on
+    the class names decides.
+    """
+    named = classes.where("doc_id IS NOT NULL")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(named.select("doc_id")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in row_slices(batches):
-            rows = []
-            for elements in shingle_sets(texts):
-                histogram = np.minimum(np.bincount((elements & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 0xFFFF).astype("<u2")
-                rows.append((*_class_of(elements), len(elements), elements.astype("<u8").tobytes(), histogram.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["c1", "c2", "n", "elements", "histogram"])
+        bits = shared.value
+        for keys, texts in row_slices(batches):
+            place = _filter_place(np.array([0 if key is None else key for key in keys], dtype=np.int64))
+            wanted = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+            chosen = [text for key, text, ok in zip(keys, texts, wanted.tolist()) if ok or key is None]
+            rows = [(*_class_of(elements), elements.astype("<u8").tobytes()) for elements in shingle_sets(chosen)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["c1", "c2", "elements"])
 
-    wanted = docs.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    made = wanted.mapInArrow(cut, "c1 BIGINT, c2 BIGINT, n BIGINT, elements BINARY, histogram BINARY")
-    own = made.join(classes.select("cid", "c1", "c2"), ["c1", "c2"])
-    # Rows that share an id may hold one set twice; the sets are equal then.
-    return written(own.select("cid", "n", "elements", "histogram").dropDuplicates(["cid"]), "jaccard-sets")
+    made = docs.select("doc_id", "text").mapInArrow(cut, "c1 BIGINT, c2 BIGINT, elements BINARY")
+    # Copies of a set are combined before the shuffle.
+    own = made.groupBy("c1", "c2").agg(F.first("elements").alias("elements")).join(classes.select("cid", "c1", "c2"), ["c1", "c2"])
+    return written(own.select("cid", "elements"), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,13 +285,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).filter(pa.array(kept))
 
-    left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("left"), F.col("n").alias("n_left"))
-    right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("right"), F.col("n").alias("n_right"))
-    sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_left, n_right) >= {percent} * greatest(n_left, n_right)")
-    return written(sized.select("a", "b", "left", "right").mapInArrow(check, "a BIGINT, b BIGINT"), "jaccard-links")
+    left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("left"))
+    right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return written(both.mapInArrow(check, "a BIGINT, b BIGINT"), "jaccard-links")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, from the texts."""
+    allowed = written(_allowed(pairs, classes, percent), "jaccard-allowed")
+    involved = allowed.select(F.col("a").alias("cid")).unionByName(allowed.select(F.col("b").alias("cid"))).distinct()
+    sets = _sets(texts, classes.select("cid", "doc_id", "c1", "c2").join(involved, "cid"))
+    return _verified(allowed, sets, percent)
 
 
-def _across(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of long ``lists`` (list, cid) in different components that their histograms allow."""
     known = lists.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     spread = known.groupBy("list").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
@@ -233,19 +310,32 @@ def _across(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
 
     def compare(table: pa.Table) -> pa.Table:
         cids, labels_, sizes, sides = (table[name].to_numpy() for name in ("cid", "label", "n", "own"))
-        histograms = np.frombuffer(b"".join(table["histogram"].to_pylist()), dtype="<u2").reshape(-1, HISTOGRAM)
+        raw = table["histogram"].to_pylist()
+        cells = np.array([len(one) for one in raw])
+        stacks = {k: np.frombuffer(b"".join(one for one in raw if len(one) == k), dtype=np.uint8).reshape(-1, k) for k in np.unique(cells[cells > 0]).tolist()}
+        halves = {k: folded(stack, k // 2) for k, stack in stacks.items()}
+        row = np.zeros(len(raw), dtype=np.int64)
+        for k in stacks:
+            row[cells == k] = np.arange((cells == k).sum())
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         left, right = np.flatnonzero(sides == low), np.flatnonzero(sides == high)
         out = [np.zeros((0, 2), dtype=np.int64)]
-        for k in left.tolist():
-            near = right[(labels_[right] != labels_[k]) & (100 * np.minimum(sizes[right], sizes[k]) >= percent * np.maximum(sizes[right], sizes[k]))]
-            need = -(-percent * (sizes[near] + sizes[k]) // (100 + percent))
-            near = near[np.minimum(histograms[near], histograms[k]).sum(axis=1, dtype=np.int64) >= need]
-            out.append(np.stack((np.minimum(cids[near], cids[k]), np.maximum(cids[near], cids[k])), axis=1))
+        for one in left.tolist():
+            near = right[(labels_[right] != labels_[one]) & (100 * np.minimum(sizes[right], sizes[one]) >= percent * np.maximum(sizes[right], sizes[one]))]
+            need = -(-percent * (sizes[near] + sizes[one]) // (100 + percent))
+            bound = np.full(len(near), 1 << 62, dtype=np.int64)
+            k = int(cells[one])
+            # Sizes within t have histograms of one length, or one twice the other's.
+            for length, mine, theirs in ((k, stacks, stacks), (2 * k, stacks, halves), (k // 2, halves, stacks)) if k else ():
+                at = np.flatnonzero(cells[near] == length)
+                if len(at) and length:
+                    bound[at] = np.minimum(theirs[length][row[near[at]]], mine[k][row[one]]).sum(axis=1, dtype=np.int64)
+            near = near[bound >= need]
+            out.append(np.stack((np.minimum(cids[near], cids[one]), np.maximum(cids[near], cids[one])), axis=1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
-    full = paired.join(sets.select("cid", "n", "histogram"), "cid")
+    full = paired.join(classes.select("cid", "n", "histogram"), "cid")
     return full.groupBy("list", "low", "high").applyInArrow(compare, "a BIGINT, b BIGINT").distinct()
 
 
@@ -262,7 +352,7 @@ def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = _prefixes(texts, percent)
     named = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"))
-    head = rows.select("row", "n", "g1", "g2", "doc_id")
+    head = rows.select("row", "n", "g1", "g2", "doc_id", "histogram")
     classes = written(named.join(head.withColumnRenamed("row", "cid"), "cid"), "jaccard-classes")
     groups = written(classes.groupBy("g1", "g2", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("classes")), "jaccard-groups")
     postings = groups.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
@@ -278,13 +368,11 @@ def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     crowded = member.where("mates > 2").select(F.xxhash64(F.lit("group"), "gid").alias("list"), "cid")
     lists = written(lists.unionByName(crowded).distinct(), "jaccard-lists")
 
-    involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(lists.select("cid")).distinct()
-    sets = _sets(texts, classes.select("cid", "doc_id", "c1", "c2").join(involved, "cid"))
-    links = _verified(pairs, sets, percent)
+    links = _links(pairs, texts, classes, percent)
     labels = components(links)
-    more = written(_across(lists, sets, labels, percent), "jaccard-pairs")
+    more = written(_across(lists, classes, labels, percent), "jaccard-pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, sets, percent))
+        links = links.unionByName(_links(more, texts, classes, percent))
         labels = components(links)
 
     joined = classes.select("cid", "c1", "c2", "least").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
