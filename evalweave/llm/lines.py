@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from evalweave.session import written
 
-CUT_EVERY = 4
+CUT_EVERY = 2
 #: Words from which on a single line is a passage.
 LONG_WORDS = 50
 
