@@ -170,7 +170,7 @@ class WordBpe:
         counts = []
         byte, names, encode = self.bytes, self.names, self.encoder.encode
         for word in words:
-            letters = word if word.isascii() else "".join([byte[b] for b in word.encode()])
+            letters = word if word.isascii() and word.isprintable() else "".join([byte[b] for b in word.encode()])
             ids = encode(letters[:-1] + chr(ord(letters[-1]) + _LAST))
             flat += ids
             counts.append(len(ids))
