@@ -189,7 +189,8 @@ def _settle(swept: DataFrame, capacity: int, least: int) -> tuple[DataFrame, Dat
     plan = spark.createDataFrame(rows or [(RUN, -1, 0, 0, 0)], "kind INT, part INT, low BIGINT, high BIGINT, slot BIGINT")
     named = F.broadcast(plan.withColumnRenamed("kind", "plan_kind").withColumnRenamed("part", "plan_part"))
     within = (F.col("kind") == F.col("plan_kind")) & (F.col("part") == F.col("plan_part")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
-    told = swept.where(run | gap).join(named, within, "left").select("kind", "id", "size", F.when(F.col("slot") < 0, F.lit(-1)).otherwise(F.col("slot") + F.col("place") - F.col("low")).alias("slot"))
+    slot = F.when(F.col("slot") < 0, F.lit(-1)).otherwise(F.col("slot") + F.col("place") - F.col("low"))
+    told = written(swept.where(run | gap).join(named, within, "left").select("kind", "id", "size", slot.alias("slot")), "packing-told")
     met = told.where((F.col("kind") == RUN) & (F.col("slot") >= 0)).join(told.where((F.col("kind") == GAP) & F.col("slot").isNotNull()).select("slot", F.col("id").alias("sequence"), F.col("size").alias("gap")), "slot")
     begun = told.where(F.col("slot") == -1)
     none = F.lit(None).cast("bigint")
