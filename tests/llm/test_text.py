@@ -175,8 +175,11 @@ def test_language_vectors_by_hand():
 
 def test_quality(spark, docs_of):
     rng = random.Random(1)
-    plain = [f"plain{k}" for k in range(300)]
-    marks = {0: [f"vile{k}" for k in range(8)], 1: [f"junk{k}" for k in range(8)], 2: []}
+    def spelt(k):
+        return "".join("abcdefghij"[int(digit)] for digit in str(k))
+
+    plain = [f"plain{spelt(k)}" for k in range(300)]
+    marks = {0: [f"vile{spelt(k)}" for k in range(8)], 1: [f"junk{spelt(k)}" for k in range(8)], 2: []}
     rows, ratings = [], []
     for k in range(900):
         mark = k % 3
