@@ -39,7 +39,7 @@ from evalweave.session import written
 SKETCH_BITS = 20
 SHORT_LIST = 8
 #: Postings of one bucket, and members of one block of a long list.
-BUCKET_ROWS, BLOCK_MEMBERS = 1_000_000, 2_048
+BUCKET_ROWS, BLOCK_MEMBERS = 200_000, 2_048
 _BLOCK_BITS = 14
 #: Bits of the filter of wanted documents; when it fills up, more texts are read again.
 FILTER_BITS = 1 << 24
