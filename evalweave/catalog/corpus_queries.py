@@ -18,7 +18,7 @@ from evalweave.functions.text import (
     truncate_content,
 )
 from evalweave.operators import chunking, dedup, embedding, sampling
-from evalweave.operators.inference import attach_answers, run_batch
+from evalweave.operators.inference import attach_answers, extractive_model, run_batch
 from evalweave.operators.scoring import scoreboard
 from evalweave.operators.similarity import top_k
 from evalweave.plans import evaluation, retrieval
@@ -115,10 +115,15 @@ def resume_remaining(spark, d):
 
 @query(
     "resume_prefix",
-    sql("SELECT idx, question FROM doc_items WHERE idx >= (SELECT max(user_id) + 1 FROM events)", "doc_items"),
+    sql(
+        """, done AS (SELECT user_id AS idx FROM events WHERE user_id <> 90 UNION SELECT -1)
+        SELECT idx, question FROM doc_items WHERE idx >= (SELECT min(idx) + 1 FROM done WHERE idx + 1 NOT IN (SELECT idx FROM done))""",
+        "doc_items",
+    ),
 )
 def resume_prefix(spark, d):
-    done = table(spark, d, "events").select(F.col("user_id").alias("idx"))
+    """A log with a gap: users in their order, but for one."""
+    done = table(spark, d, "events").where("user_id <> 90").select(F.col("user_id").alias("idx"))
     return sampling.items_from(inputs.document_items(spark, d), done).select("idx", "question")
 
 
@@ -324,6 +329,16 @@ def retrieve_context(spark, d):
     return evaluation.contexts_for(inputs.eval_items(spark, d), _index(spark, d))
 
 
+@query(
+    "retrieve_small_k",
+    sql("SELECT query_id AS idx, count(*) AS n_documents FROM ranked WHERE rn <= 7 GROUP BY ALL", "ranked"),
+)
+def retrieve_small_k(spark, d):
+    """Two documents asked for: too few, so the default number is given."""
+    found = evaluation.contexts_for(inputs.eval_items(spark, d), _index(spark, d), k=2)
+    return found.select("idx", F.regexp_count("context", F.lit("=== Document [0-9]+ ===")).cast("bigint").alias("n_documents"))
+
+
 @query(
     "prompts_rag",
     sql(
@@ -457,6 +472,41 @@ def agentic_run(spark, d):
     return found.select("idx", "question", F.col("answer").alias("true_answer"), "generated_answer")
 
 
+def _busy_model():
+    """The stand-in model, but for questions of certain lengths, which fail each time."""
+    answer = extractive_model()
+
+    def sometimes(conversations):
+        asked = [c[-1]["content"].split("Question:\n", 1)[1].split("\n\nSearch Query: ")[0] for c in conversations]
+        if any(len(question) % 7 == 0 for question in asked):
+            raise RuntimeError("busy")
+        return answer(conversations)
+
+    return sometimes
+
+
+@query(
+    "agentic_resume",
+    sql(
+        """SELECT i.idx, question, CASE WHEN length(question) % 7 = 0 THEN 'Error: busy' ELSE response END AS generated_answer,
+        CASE WHEN length(question) % 7 = 0 THEN 3 ELSE 1 END AS n_attempts FROM items i JOIN closing c ON i.idx = c.idx""",
+        "items",
+        "closing",
+        **_ROUND_TABLES,
+    ),
+)
+def agentic_resume(spark, d):
+    """A run cut off after some waves, with failing calls, and one that goes on from its log."""
+    items = inputs.eval_items(spark, d)
+    index = _index(spark, d)
+    log = scratch_path(spark, "agentic-log")
+    for part in (sampling.first_items(items, 15), items):
+        found = evaluation.answer_with_retries(
+            part, lambda rows: evaluation.agentic_prompts(rows, index), _busy_model, log=log, wave_rows=100
+        )
+    return found.select("idx", "question", "generated_answer", "n_attempts")
+
+
 def _words_sql(expr: str) -> str:
     return f"list_distinct(list_filter(string_split_regex({expr}, '[[:space:]]+'), lambda w: w <> ''))"
 

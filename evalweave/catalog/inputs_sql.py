@@ -92,7 +92,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "timings": ((), """SELECT l_orderkey AS run_key,
       sum(l_quantity) FILTER (l_linenumber = 1) AS model_load_seconds, sum(l_quantity) FILTER (l_linenumber = 2) AS rag_seconds,
       sum(l_quantity) FILTER (l_linenumber = 3) AS vanilla_seconds, sum(l_quantity) FILTER (l_linenumber = 4) AS server_startup_seconds,
-      sum(l_quantity) FILTER (l_linenumber = 5) AS agentic_seconds, sum(l_quantity) FILTER (l_linenumber = 6) AS judge_seconds
+      sum(l_quantity) FILTER (l_linenumber = 5) AS agentic_seconds, sum(l_quantity) FILTER (l_linenumber >= 6) AS judge_seconds
       FROM lineitem GROUP BY l_orderkey"""),
     "attempts": ((), """SELECT event_id // 3 AS idx, event_id % 3 AS attempt, value AS elapsed_s,
       CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'Part 1: Facts Survey'

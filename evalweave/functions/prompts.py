@@ -84,6 +84,11 @@ GUIDED_AGENT_TEMPLATE = (
 STOP_PHRASE = "Hugging Face"
 
 
+def templates() -> tuple[str, ...]:
+    """Every text that goes into a prompt."""
+    return VANILLA_TEMPLATE, CONTEXT_TEMPLATE, JUDGE_SYSTEM_MESSAGE, JUDGE_TEMPLATE, AGENT_TEMPLATE, GUIDED_AGENT_TEMPLATE, STOP_PHRASE
+
+
 def fill(template: str, **values: Column) -> Column:
     """A template filled from columns in one concat().
 

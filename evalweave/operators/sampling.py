@@ -30,8 +30,11 @@ def remaining_items(items: DataFrame, completed: DataFrame) -> DataFrame:
 
 
 def next_index(completed: DataFrame) -> int:
-    """Where a sequential run resumes: one past its last row."""
-    return completed.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("n")).first()["n"]
+    """Where a sequential run resumes: the first position from 0 on without a row."""
+    done = completed.select("idx").where("idx >= 0").distinct()
+    before = done.select((F.col("idx") - 1).alias("idx"))
+    ends = done.unionByName(completed.sparkSession.range(-1, 0).select(F.col("id").alias("idx")))
+    return ends.join(before, "idx", "left_anti").agg((F.min("idx") + 1).alias("n")).first()["n"]
 
 
 def items_from(items: DataFrame, completed: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    if np.isnan(rows).any():  # a null component reads as NaN
+        raise ValueError("a vector holds a null or NaN component")
     return rows
 
 
@@ -118,14 +120,13 @@ def top_k(
     ``queries`` has ``query_id, embedding`` and ``index`` has ``*keys, embedding``;
     ids and keys are whole numbers. Up to ``broadcast_rows`` queries are read to the
     driver and travel with the tasks, so the index is scanned in place and only the
-    task winners are shuffled. More queries than that are paired block by block, see
+    task winners are shuffled. A missing vector, or a null or NaN component, is an error. More queries than that are paired block by block, see
     ``_grid``.
     """
     named = queries.select(F.col("query_id").cast("bigint"), "embedding")
     head = named.limit(broadcast_rows + 1).toArrow()
-    vectors = index.select(*[F.col(c).cast("bigint").alias(c) for c in keys], "embedding").where(
-        F.col("embedding").isNotNull()
-    )
+    given = F.coalesce("embedding", F.raise_error(F.lit("a row of the index has no vector")).cast("array<float>"))
+    vectors = index.select(*[F.col(c).cast("bigint").alias(c) for c in keys], given.alias("embedding"))
     if head.num_rows <= broadcast_rows:
         winners = _with_broadcast(head, vectors, keys, k)
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,13 +89,15 @@ def refine(
     good_score: float = GOOD_SCORE,
     good_hits: int = GOOD_HITS,
     rounds=SEARCH_ROUNDS,
+    embed: Callable[[DataFrame], DataFrame] = embed_hashed,
 ) -> tuple[DataFrame, DataFrame]:
     """Search again, with more hits or other keywords, until enough hits are good.
 
-    Returns one outcome per question and the hits of the round that closed it. Each
-    round is one job over the questions still open and is written before the next
-    starts, so no round repeats the work of earlier ones. Questions open after the
-    last round keep its result with ``found`` 0.
+    Returns one outcome per question and the hits of the round that closed it. Rounds
+    in a row with the same keywords share one search with the largest k of them, of
+    which each takes its first hits. Searches and outcomes are written, so nothing
+    repeats the work of earlier rounds. Questions open after the last round keep its
+    result with ``found`` 0.
     """
     open_questions = questions.select(F.col("idx").alias("query_id"), "question")
     outcomes: list[DataFrame] = []
@@ -103,7 +106,13 @@ def refine(
         queries = validated_queries(
             open_questions.withColumns({"query": keywords(F.col("question")), "k": F.lit(k)})
         )
-        hits = written(ranked_hits(queries, index, max_k=k), f"hits-{number}")
+        if number == 1 or keywords is not rounds[number - 2][1]:
+            most = max(k for k, _ in takewhile(lambda r: r[1] is keywords, rounds[number - 1 :]))
+            searched = written(
+                ranked_hits(queries.withColumn("k", F.lit(most)), index, embed=embed, max_k=most), f"hits-{number}"
+            )
+        still_open = searched.join(queries.select("query_id"), "query_id", "left_semi")
+        hits = still_open.where(F.col("rn") <= k)
         per_query = hits.groupBy("query_id").agg(
             F.count(F.lit(1)).alias("n_hits"),
             F.count(F.when(F.col("score") >= good_score, 1)).alias("n_good"),
@@ -132,8 +141,13 @@ def refine(
     return reduce(DataFrame.unionByName, outcomes), reduce(DataFrame.unionByName, hits_kept)
 
 
-def refined_contexts(questions: DataFrame, index: DataFrame, max_content: int = MAX_CONTENT_CHARS) -> DataFrame:
+def refined_contexts(
+    questions: DataFrame,
+    index: DataFrame,
+    max_content: int = MAX_CONTENT_CHARS,
+    embed: Callable[[DataFrame], DataFrame] = embed_hashed,
+) -> DataFrame:
     """Contexts from the closing round of a refined search, one per question."""
-    outcomes, hits = refine(questions, index)
+    outcomes, hits = refine(questions, index, embed=embed)
     texts = index.select(*CHUNK_KEYS, "source", "content").join(hits, CHUNK_KEYS)
     return assemble_contexts(outcomes.select("query_id", "query", "query_error"), texts, max_content)

@@ -12,7 +12,10 @@ _local_roots: dict[str, str] = {}
 
 
 def build_session(app: str = "evalweave", cpus: int = 8, **conf: str) -> SparkSession:
-    """A local session for tests and benchmarks; clusters pass their own session in."""
+    """A local session for tests and benchmarks; clusters pass their own session in.
+
+    Its shared folder is a fresh temporary one unless ``conf`` names another.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -21,6 +24,7 @@ def build_session(app: str = "evalweave", cpus: int = 8, **conf: str) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="evalweave-"))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -54,9 +58,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join((shared_root(spark), "evalweave", *parts))
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return shared_path(spark, "scratch", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return shared_path(spark, "scratch", f"{label}-{uuid.uuid4().hex}")
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -86,5 +94,28 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path)) and bool(fs.getFileStatus(hadoop_path).isDirectory())
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder if it is there."""
+    fs, hadoop_path = _file_system(spark, path)
+    if fs.exists(hadoop_path):
+        fs.delete(hadoop_path, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder in the place of another, which goes first."""
+    fs, from_path = _file_system(spark, source)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if fs.exists(to_path):
+        fs.delete(to_path, True)
+    fs.mkdirs(to_path.getParent())
+    if not fs.rename(from_path, to_path):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of this application; call it when its results are stored."""
+    remove_path(spark, _scratch_root(spark))
+
+
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))

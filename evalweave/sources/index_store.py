@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,25 +16,33 @@ from evalweave.operators.chunking import recursive_chunks, word_chunks
 from evalweave.operators.dedup import unique_chunks
 from evalweave.operators.embedding import DIM, embed_batches, embed_hashed
 from evalweave.schemas import INDEX
-from evalweave.session import path_exists, written
+from evalweave.session import move_path, path_exists, remove_path, written
+
+
+HASHING = "hashing"
 
 
 @dataclass(frozen=True)
 class IndexConfig:
     """Everything the content of an index depends on besides its corpus.
 
-    Raise ``revision`` when a built-in chunker or embedder changes its results.
+    Raise ``revision`` when a built-in chunker or embedder changes its results. An
+    embedder with a loader needs a name of its own, which stands for it in the key.
     """
 
     chunker: str = "words"
     chunk_size: int = 200
     chunk_overlap: int = 20
-    embedder: str = "hashing"
+    embedder: str = HASHING
     dim: int = DIM
     batch_size: int = 100
     load_embedder: Callable | None = field(default=None, compare=False)
     revision: int = 1
 
+    def __post_init__(self) -> None:
+        if (self.load_embedder is None) != (self.embedder == HASHING):
+            raise ValueError("an embedder other than the hashing one needs a name and a loader")
+
     def key(self, corpus: str) -> str:
         parts = (
             corpus, self.chunker, self.chunk_size, self.chunk_overlap, self.embedder, self.dim, self.revision
@@ -52,6 +61,13 @@ def embed(chunks: DataFrame, config: IndexConfig) -> DataFrame:
     return embed_hashed(chunks, dim=config.dim)
 
 
+def check_dimensions(index: DataFrame, config: IndexConfig) -> None:
+    """Raise if the vectors of an index are not of the configured length; reads one row."""
+    row = index.select(F.size("embedding").alias("n")).first()
+    if row is not None and row["n"] != config.dim:
+        raise ValueError(f"the index holds vectors of {row['n']} dimensions, the embedder makes {config.dim}")
+
+
 def build_index(docs: DataFrame, config: IndexConfig) -> DataFrame:
     """Chunk, drop duplicates, then embed what is left: one shuffle."""
     return embed(unique_chunks(index_chunks(docs, config)), config).select(*_columns())
@@ -62,15 +78,19 @@ def _columns() -> list[str]:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """A completely written index, or None where there is none or it has other columns."""
+    """A completely written index, or None where there is none, it is empty or has other columns."""
     if not path_exists(spark, f"{path}/_SUCCESS"):
         return None
+    # The one place that infers a schema: it has to tell an index of other columns.
     found = spark.read.parquet(path)
     wanted = StructType.fromDDL(INDEX)
     same = {f.name: f.dataType.simpleString() for f in found.schema} == {
         f.name: f.dataType.simpleString() for f in wanted
     }
-    return spark.read.schema(INDEX).parquet(path) if same else None
+    if not same:
+        return None
+    index = spark.read.schema(INDEX).parquet(path)
+    return None if index.isEmpty() else index
 
 
 def build_or_load_index(
@@ -78,7 +98,9 @@ def build_or_load_index(
 ) -> DataFrame:
     """The index at ``path``, built and saved first if missing, unusable or ``force``.
 
-    An empty corpus is an error. If saving fails the index is still returned, unsaved.
+    It is built in a folder beside and then moved, so a failing build leaves an older
+    index alone. An empty corpus is an error each time, and a stored index without rows
+    counts as none. If only the move fails, the built index is returned from beside.
     """
     spark = docs.sparkSession
     config = config or IndexConfig()
@@ -86,16 +108,18 @@ def build_or_load_index(
         found = read_index(spark, path)
         if found is not None:
             return found
-    built = build_index(docs, config)
-    try:
-        built.write.mode("overwrite").parquet(path)
-    except Exception as failure:  # an index that cannot be saved can still be searched
-        warnings.warn(f"index not saved to {path}: {failure}", stacklevel=2)
-        return built
-    saved = spark.read.schema(INDEX).parquet(path)
+    staged = f"{path}.{uuid.uuid4().hex}"
+    build_index(docs, config).write.parquet(staged)
+    saved = spark.read.schema(INDEX).parquet(staged)
     if saved.isEmpty():
+        remove_path(spark, staged)
         raise ValueError("No documents to embed")
-    return saved
+    try:
+        move_path(spark, staged, path)
+    except Exception as failure:  # only the move: a built index can be searched where it is
+        warnings.warn(f"index not saved to {path}: {failure}", stacklevel=2)
+        return saved
+    return spark.read.schema(INDEX).parquet(path)
 
 
 def unseen_chunks(index: DataFrame, batch: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def free_path(spark: SparkSession, path: str, now: datetime | None = None) -> st
     Several results of one minute are told apart by a further number.
     """
     folder, _, name = path.rpartition("/")
-    stem, dot, suffix = name.rpartition(".") if "." in name else (name, "", "")
+    stem, dot, suffix = name.rpartition(".") if name.endswith((".json", ".parquet")) else (name, "", "")
     stamp = (now or datetime.now()).strftime(SUFFIX_TIMESTAMP)
     candidate, n = path, 1
     while path_exists(spark, candidate):

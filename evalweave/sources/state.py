@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.session import path_exists
+from evalweave.session import path_exists, remove_path
 
-_META = (
-    "run_key STRING, phase STRING, n_rows BIGINT, saved_at TIMESTAMP, timing MAP<STRING, DOUBLE>"
-)
+_META = "n_rows BIGINT, saved_at TIMESTAMP, timing MAP<STRING, DOUBLE>"
 
 
 def run_key(**settings) -> str:
@@ -29,53 +27,41 @@ def save_phase(
     timing: dict[str, float] | None = None,
     started: float | None = None,
 ) -> None:
-    """Store a phase's rows, replacing only that phase of that run.
+    """Store a phase's rows, also if there are none, replacing only that phase of that run.
 
-    The one-row entry in ``meta`` follows the rows, so a phase counts as stored only
+    The one-row entry in ``meta`` goes first and comes back after the rows, so a phase counts as stored only
     once its rows are committed. ``started`` is a ``time.monotonic()`` value from
     which the stored ``elapsed_time`` counts.
     """
     spark = results.sparkSession
     counted = Observation()
+    remove_path(spark, _phase_path(root, "meta", key, phase))
     rows = results.observe(counted, F.count(F.lit(1)).alias("n_rows"))
-    (
-        rows.withColumns({"run_key": F.lit(key), "phase": F.lit(phase)})
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_key", "phase")
-        .parquet(f"{root}/results")
-    )
+    rows.write.mode("overwrite").parquet(_phase_path(root, "results", key, phase))
     seconds = dict(timing or {})
     if started is not None:
         seconds["elapsed_time"] = time.monotonic() - started
     entry = spark.createDataFrame(
-        [(key, phase, counted.get["n_rows"], seconds)],
-        "run_key STRING, phase STRING, n_rows BIGINT, timing MAP<STRING, DOUBLE>",
+        [(counted.get["n_rows"], seconds)], "n_rows BIGINT, timing MAP<STRING, DOUBLE>"
     ).withColumn("saved_at", F.current_timestamp())
-    (
-        entry.coalesce(1)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_key", "phase")
-        .parquet(f"{root}/meta")
-    )
+    entry.coalesce(1).write.mode("overwrite").parquet(_phase_path(root, "meta", key, phase))
+
+
+def _phase_path(root: str, kind: str, key: str, phase: str) -> str:
+    return f"{root}/{kind}/run_key={key}/phase={phase}"
 
 
 def load_phase(
     spark: SparkSession, root: str, key: str, phase: str, schema: str
 ) -> tuple[DataFrame, dict[str, float]] | None:
     """Stored rows and timing of a phase, or None if it has to be computed."""
-    if not path_exists(spark, f"{root}/meta/run_key={key}/phase={phase}"):
+    meta, results = (_phase_path(root, kind, key, phase) for kind in ("meta", "results"))
+    if not path_exists(spark, f"{meta}/_SUCCESS") or not path_exists(spark, f"{results}/_SUCCESS"):
         return None
-    entry = (
-        spark.read.schema(_META).parquet(f"{root}/meta")
-        .where((F.col("run_key") == key) & (F.col("phase") == phase))
-        .first()
-    )
+    entry = spark.read.schema(_META).parquet(meta).first()
     if entry is None:
         return None
-    rows = spark.read.schema(schema).parquet(f"{root}/results/run_key={key}/phase={phase}")
-    return rows, dict(entry["timing"] or {})
+    return spark.read.schema(schema).parquet(results), dict(entry["timing"] or {})
 
 
 def run_phase(
@@ -119,14 +105,17 @@ def upsert_system(existing: DataFrame, fresh: DataFrame, system_type: str) -> Da
     return kept.unionByName(fresh.where(F.col("system_type") == system_type))
 
 
-def save_system_results(results: DataFrame, path: str) -> None:
-    """Write rows of one or more systems over those systems' stored rows only."""
-    (
-        results.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("system_type")
-        .parquet(path)
-    )
+def save_system_results(results: DataFrame, path: str, systems: Iterable[str] | None = None) -> None:
+    """Replace the stored rows of ``systems`` by those of ``results``, also where there are none.
+
+    Without ``systems``, those that occur in ``results`` are replaced. Each system has a
+    folder of its own.
+    """
+    if systems is None:
+        systems = [row["system_type"] for row in results.select("system_type").distinct().collect()]  # three at most
+    for system in systems:
+        own = results.where(F.col("system_type") == system).drop("system_type")
+        own.write.mode("overwrite").parquet(f"{path}/system_type={system}")
 
 
 def load_system_results(spark: SparkSession, path: str, schema: str) -> DataFrame:

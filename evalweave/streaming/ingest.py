@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from evalweave.operators.dedup import unique_chunks
 from evalweave.schemas import LANDED_ANSWER, STREAM_INDEX
-from evalweave.session import is_folder, path_exists
+from evalweave.session import is_folder, path_exists, written
 from evalweave.sources.index_store import IndexConfig, embed, index_chunks, unseen_chunks
 from evalweave.sources.state import latest_per_key
 from evalweave.sources.tables import SCHEMAS, spread
@@ -33,31 +33,23 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
 
 
 def _land(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write a micro-batch as its own partition: replaying the batch replaces its rows."""
-    (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    """Write a micro-batch as its own partition: replaying the batch replaces its rows, also by none."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def ingest_documents(batch: DataFrame, batch_id: int, path: str, config: IndexConfig) -> None:
     """Chunk a micro-batch, keep contents the index lacks, embed and land them."""
     spark = batch.sparkSession
-    unique = unique_chunks(index_chunks(spread(batch), config)).persist()
-    try:
-        unique.count()  # with its size known, a small batch is broadcast to the index scan
-        fresh = unique
-        if path_exists(spark, path):
-            # A replayed batch must not meet its own rows.
-            others = spark.read.schema(STREAM_INDEX).parquet(path).where(F.col("batch_id") != batch_id)
-            fresh = unseen_chunks(others, unique)
-        columns = [c for c in StructType.fromDDL(STREAM_INDEX).names if c != "batch_id"]
-        _land(embed(fresh, config).select(*columns), path, batch_id)
-    finally:
-        unique.unpersist()
+    # Written, its size is known: a small batch is broadcast to the index scan.
+    unique = written(unique_chunks(index_chunks(spread(batch), config)), "stream-batch")
+    fresh = unique
+    if path_exists(spark, path):
+        # A replayed batch must not meet its own rows.
+        others = spark.read.schema(STREAM_INDEX).parquet(path).where(F.col("batch_id") != batch_id)
+        fresh = unseen_chunks(others, unique)
+    columns = [c for c in StructType.fromDDL(STREAM_INDEX).names if c != "batch_id"]
+    # Landed from a table of its own: rows being replaced may still be read here.
+    _land(written(embed(fresh, config).select(*columns), "stream-added"), path, batch_id)
 
 
 def start_index_stream(
@@ -86,3 +78,13 @@ def start_answer_stream(answers: DataFrame, path: str, checkpoint: str) -> Strea
 def landed_answers(spark: SparkSession, path: str) -> DataFrame:
     """Latest landed answer per index."""
     return latest_per_key(spark.read.schema(LANDED_ANSWER).parquet(path), ["idx"])
+
+
+def landing_progress(spark: SparkSession, path: str) -> DataFrame:
+    """What has landed so far: answered positions, and rows and batches behind them."""
+    landed = spark.read.schema("idx BIGINT, seq BIGINT, batch_id BIGINT").parquet(path)
+    return landed.agg(
+        F.count_distinct("idx").alias("answered"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("batch_id").alias("batches"),
+    )

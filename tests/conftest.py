@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from evalweave.session import build_session  # noqa: E402
+from evalweave.session import build_session, remove_scratch  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,6 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", 4)
     yield session
+    remove_scratch(session)
     session.stop()
 
 

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions.prompts import message
-from evalweave.operators.embedding import embed_hashed
+from evalweave.operators import sampling
+from evalweave.operators.embedding import embed_hashed, hashing_embedder
 from evalweave.operators.inference import run_batch
 from evalweave.operators.reporting import run_scores_wide
+from evalweave.operators.similarity import top_k
 from evalweave.plans import evaluation
 from evalweave.sources import index_store, run_files, state
 from evalweave.streaming import ingest
@@ -330,7 +332,7 @@ def test_whole_run_with_samples(spark, tmp_path):
 
     full, few, picked = run(), run(test=2), run(test_ids=[4, 1, 4, 99])
     assert len({full["run_id"], few["run_id"], picked["run_id"]}) == 3
-    assert len({full["path"], few["path"]}) == 2 and full["path"].endswith("/m-1_vect5")
+    assert len({full["path"], few["path"]}) == 2 and full["path"].endswith("/m-1_vect5_t0.0")
     assert set(full["scores"]) == {"agentic_rag", "standard_rag", "standard"}
     rows = run_files.load_results(spark, few["path"])
     assert rows.count() == 6
@@ -339,3 +341,177 @@ def test_whole_run_with_samples(spark, tmp_path):
         "full": 9, "few": 2, "picked": 3,
     }
     assert entries[full["run_id"]].scores == full["scores"]
+
+
+def test_empty_phase_is_stored_and_replaces_an_older_one(spark, tmp_path):
+    root = str(tmp_path)
+    none = lambda: spark.range(0).withColumnRenamed("id", "idx")
+    rows, _, cached = state.run_phase(spark, root, "k", "p", "idx BIGINT", none)
+    assert rows.count() == 0 and not cached
+    assert state.run_phase(spark, root, "k", "p", "idx BIGINT", none)[2]
+    state.save_phase(spark.range(5).withColumnRenamed("id", "idx"), root, "k", "p")
+    state.save_phase(none(), root, "k", "p")
+    assert state.load_phase(spark, root, "k", "p", "idx BIGINT")[0].count() == 0
+
+
+def test_emptied_system_loses_its_rows(spark, tmp_path):
+    path, schema = str(tmp_path / "systems"), "system_type STRING, idx BIGINT"
+    rows = spark.createDataFrame([("standard", 1), ("agentic_rag", 2)], schema)
+    state.save_system_results(rows, path)
+    state.save_system_results(rows.where("false"), path, ["standard"])
+    assert [tuple(r) for r in state.load_system_results(spark, path, schema).select("system_type", "idx").collect()] == [("agentic_rag", 2)]
+
+
+def test_replayed_empty_batch_loses_its_rows(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    rows = spark.createDataFrame([(1, 2)], "idx BIGINT, seq BIGINT")
+    ingest._land(rows, path, 0)
+    ingest._land(rows, path, 1)
+    assert ingest.landing_progress(spark, path).first()[:] == (1, 2, 2)
+    ingest._land(rows.where("false"), path, 1)
+    assert ingest.landing_progress(spark, path).first()[:] == (1, 1, 1)
+
+
+def test_empty_corpus_raises_every_time(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for _ in range(2):
+        with pytest.raises(ValueError, match="No documents"):
+            index_store.build_or_load_index(docs(spark, 0, 10).where("false"), path, CONFIG)
+    kept = index_store.build_or_load_index(docs(spark, 0, 10), path, CONFIG).count()
+    failing = index_store.IndexConfig(chunk_size=5, chunk_overlap=1, embedder="broken", load_embedder=lambda: 1 / 0)
+    with pytest.raises(Exception, match="division"):
+        index_store.build_or_load_index(docs(spark, 0, 10), path, failing, force=True)
+    assert index_store.read_index(spark, path).count() == kept
+
+
+def test_embedder_needs_a_name_and_its_dimensions_must_fit(spark, tmp_path):
+    with pytest.raises(ValueError, match="name"):
+        index_store.IndexConfig(load_embedder=hashing_embedder())
+    wide = index_store.IndexConfig(chunk_size=5, chunk_overlap=1, embedder="hashing-128", dim=128, load_embedder=hashing_embedder(128))
+    assert wide.key("c") != CONFIG.key("c")
+    corpus = spark.createDataFrame([(i, f"answer {i} is a fact", "s") for i in range(12)], "doc_id BIGINT, text STRING, source STRING")
+    result = evaluation.run_evaluation(corpus, items(spark, 4), str(tmp_path / "wide"), "corpus-1", config=wide)
+    assert set(result["scores"]) == {"agentic_rag", "standard_rag", "standard"}
+    index = index_store.read_index(spark, f"{tmp_path}/wide/indexes/{wide.key('corpus-1')}")
+    with pytest.raises(ValueError, match="128 dimensions"):
+        evaluation.evaluate(items(spark, 4), index, str(tmp_path / "narrow"), "k", config=CONFIG)
+
+
+def test_same_run_is_stored_once_and_other_questions_are_another_run(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, f"answer {i} is a fact", "s") for i in range(12)], "doc_id BIGINT, text STRING, source STRING")
+
+    def run(rows):
+        return evaluation.run_evaluation(corpus, rows, str(tmp_path), "corpus-1", config=CONFIG)
+
+    first, again = run(items(spark, 3)), run(items(spark, 3))
+    assert first["path"] == again["path"] and first["run_id"] == again["run_id"]
+    assert run_files.load_run_entries(spark, f"{tmp_path}/runs").count() == 1
+    other = run(items(spark, 3).withColumn("question", F.concat(F.lit("why "), "question")))
+    assert other["run_id"] != first["run_id"]
+    assert {r.question[:3] for r in run_files.load_results(spark, other["path"]).collect()} == {"why"}
+
+
+def counted_model(path, bad=()):
+    def load():
+        def answer(conversations):
+            with open(path, "a") as log:
+                log.write("".join(c[-1]["content"] + "\n" for c in conversations))
+            if any(c[-1]["content"] in bad for c in conversations):
+                raise RuntimeError("down")
+            return ["re " + c[-1]["content"] for c in conversations]
+
+        return answer
+
+    return load
+
+
+def test_agentic_run_goes_on_from_its_log(spark, tmp_path):
+    log, calls = str(tmp_path / "log"), str(tmp_path / "calls")
+    evaluation.answer_with_retries(items(spark, 5), echo_prompts, counted_model(calls), log=log, wave_rows=2)
+    found = evaluation.answer_with_retries(items(spark, 9), echo_prompts, counted_model(calls), log=log, wave_rows=2)
+    assert sorted((r.idx, r.generated_answer) for r in found.collect()) == [(i, f"re q{i}") for i in range(9)]
+    assert sorted(open(calls).read().split()) == [f"q{i}" for i in range(9)]
+
+
+def test_failed_items_stay_and_strict_runs_stop(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    model = counted_model(calls, {"q3"})
+    rows = evaluation.resume_answers(items(spark, 6), str(tmp_path / "log"), echo_prompts, model).collect()
+    assert {r.idx: (r.generated_answer, r.error) for r in rows} == {i: (None, "down") if i == 3 else (f"re q{i}", None) for i in range(6)}
+    strict = str(tmp_path / "strict")
+    rows = evaluation.resume_answers(items(spark, 9), strict, echo_prompts, model, strict=True, wave_rows=4).collect()
+    assert {r.idx for r in rows if r.generated_answer} == {0, 1, 2}
+    rows = evaluation.resume_answers(items(spark, 9), strict, echo_prompts, counted_model(calls), strict=True, wave_rows=4).collect()
+    assert {r.idx for r in rows if r.generated_answer} == set(range(9))
+    assert spark.read.parquet(strict).where("idx < 3").select("seq").distinct().collect()[0][0] == 0
+
+
+def test_judge_that_is_down_is_not_called_on(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def load():
+        def judge(conversations):
+            with open(calls, "a") as log:
+                log.write("x" * len(conversations))
+            raise RuntimeError("bad request")
+
+        return judge
+
+    answers = spark.createDataFrame(
+        [("agentic_rag", i, "q", f"g{i}", "t") for i in range(100)],
+        "system_type STRING, idx BIGINT, question STRING, generated_answer STRING, true_answer STRING",
+    )
+    kept = evaluation.resume_verdicts(answers, str(tmp_path / "log"), load, wave_rows=10, parallelism=1)
+    assert sorted(r.idx for r in kept.collect()) == [0, 1, 2]
+    assert len(open(calls).read()) <= 10 * 5  # one wave, halved down to single rows
+
+
+def test_transient_judge_errors_are_tried_again(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def load():
+        from pathlib import Path
+
+        def judge(conversations):
+            if not Path(seen).exists():
+                Path(seen).touch()
+                raise RuntimeError("503 UNAVAILABLE, retry in 1s")
+            return ["Feedback: ok [RESULT] 3"] * len(conversations)
+
+        return judge
+
+    answers = spark.createDataFrame(
+        [("standard", 0, "q", "g", "t")], "system_type STRING, idx BIGINT, question STRING, generated_answer STRING, true_answer STRING"
+    )
+    rows = evaluation.resume_verdicts(answers, str(tmp_path / "log"), load).collect()
+    assert [(r.is_error, r.eval_score_LLM_judge) for r in rows] == [(False, "3")]
+
+
+def test_calls_are_spread_timed_and_counted(spark):
+    prompts = echo_prompts(items(spark, 40)).coalesce(1)
+    assert run_batch(prompts, parallelism=7).rdd.getNumPartitions() == 7
+    short = run_batch(prompts, lambda: lambda cs: ["a"] * (len(cs) - (len(cs) > 1)), parallelism=1)
+    assert {r.generated_answer for r in short.collect()} == {"a"}
+
+    def slow():
+        import time
+
+        return lambda cs: [time.sleep(2) or "a" for _ in cs]
+
+    late = run_batch(prompts.where("idx = 0"), slow, timeout=0.2).first()
+    assert late.error == "Agent timed out"
+
+
+def test_next_index_is_the_first_gap(spark):
+    def at(*done):
+        return sampling.next_index(spark.createDataFrame([(i,) for i in done], "idx BIGINT"))
+
+    assert (at(), at(0, 1, 2), at(1, 2), at(0, 1, 3, 4), at(0, 0, -5)) == (0, 3, 0, 2, 1)
+
+
+def test_vectors_must_be_whole(spark):
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id BIGINT, embedding ARRAY<FLOAT>")
+    for bad in (None, [1.0, None], [float("nan"), 1.0]):
+        index = spark.createDataFrame([(1, [1.0, 0.0]), (2, bad)], "vec_id BIGINT, embedding ARRAY<FLOAT>")
+        with pytest.raises(Exception, match="vector"):
+            top_k(queries, index, ["vec_id"], 1).collect()
