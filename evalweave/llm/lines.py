@@ -10,7 +10,8 @@ removed everywhere but at their first place, after their bytes were compared.
 
 All steps are DataFrame operations. Only hashes travel until the bytes of repeated
 chunks are needed; counts and comparisons are aggregates combined before the shuffle, so
-a line or passage that a third of all documents hold arrives as a few rows.
+a line or passage that a third of all documents hold arrives as a few rows. The two joins with
+whole texts merge at every size, so that trials on small tables show what large ones do.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def repeats(docs: DataFrame, cut_every: int = CUT_EVERY, long_words: int = LONG_
     wanted = written(chunks.join(again, "chunk_hash", "left_semi"), "line-chunks")
     texts = _keyed(docs.where("text IS NOT NULL")).select("_key", "text")
     by_document = wanted.groupBy("_key", "doc_id").agg(F.collect_list(F.struct("places", "chunk_hash")).alias("chunks"))
-    found = by_document.join(texts, "_key").select("_key", "doc_id", _lines("text").alias("lines"), F.explode("chunks").alias("chunk"))
+    found = by_document.join(texts.hint("merge"), "_key").select("_key", "doc_id", _lines("text").alias("lines"), F.explode("chunks").alias("chunk"))
     passage = F.array_join(F.transform("chunk.places", lambda at: F.get("lines", at)), "\n")
     filled = written(found.select("_key", "doc_id", "chunk.chunk_hash", "chunk.places", passage.alias("passage")).dropDuplicates(["_key", "places"]), "line-passages")
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "_key", F.get("places", F.lit(0)).alias("at"))
@@ -84,7 +85,7 @@ def remove_repeats(docs: DataFrame, cut_every: int = CUT_EVERY, long_words: int
     """
     own = docs.drop("removed_lines")
     taken = repeats(own.select("doc_id", "text"), cut_every, long_words).groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("_taken"))
-    joined = _keyed(own).join(written(taken, "line-repeats"), "_key", "left")
+    joined = _keyed(own).hint("merge").join(written(taken, "line-repeats"), "_key", "left")
     kept = F.filter(F.transform(_lines("text"), lambda line, at: F.struct(at.alias("at"), line.alias("line"))), lambda item: ~F.array_contains("_taken", item["at"]))
     text = F.when(F.col("_taken").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda item: item["line"]), "\n"))
     return joined.select(*(text.alias("text") if name == "text" else F.col(name) for name in own.columns), F.coalesce(F.size("_taken"), F.lit(0)).alias("removed_lines"))
