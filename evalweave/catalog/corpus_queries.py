@@ -25,7 +25,7 @@ from evalweave.plans import evaluation, retrieval
 from evalweave.plans.retrieval import GOOD_HITS, GOOD_SCORE
 from evalweave.session import scratch_path, shared_path
 from evalweave.sources import index_store, state
-from evalweave.sources.tables import table, table_version
+from evalweave.sources.tables import SCHEMAS, table, table_version
 from evalweave.streaming import ingest
 
 CONFIG = index_store.IndexConfig()
@@ -563,10 +563,17 @@ def judge_run(spark, d):
 # --- streams ---------------------------------------------------------------------
 
 
+def _in_files(spark, d, name, files=4):
+    """A table as a stream of several files, each a micro-batch of its own."""
+    path = scratch_path(spark, f"stream-{name}")
+    table(spark, d, name).repartition(files).write.parquet(path)
+    return ingest.file_stream(spark, path, SCHEMAS[name], files_per_batch=1)
+
+
 @query("stream_index", sql("SELECT content_sha, content FROM uniq", "uniq"))
 def stream_index(spark, d):
     """The corpus read as a stream; the index holds the same contents as a batch build."""
-    docs = ingest.table_stream(spark, d, "documents")
+    docs = _in_files(spark, d, "documents")
     stream = docs.select(
         "doc_id",
         "text",
@@ -583,7 +590,7 @@ def stream_index(spark, d):
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
 )
 def stream_answers(spark, d):
-    events = ingest.table_stream(spark, d, "events")
+    events = _in_files(spark, d, "events")
     log = events.select(
         F.col("user_id").alias("idx"),
         F.col("event_id").alias("seq"),

@@ -89,7 +89,11 @@ def require_api_parts(api_runs: DataFrame) -> None:
 
 
 def timing_pairs(local_runs: DataFrame, api_runs: DataFrame, prefixes: list[str]) -> DataFrame:
-    """Minutes per system of the local and the API run of each model prefix."""
+    """Minutes per system of the local and the API run of each model prefix.
+
+    A prefix without a local or an API run, and an API run that lacks a time, are errors
+    of the job that reads the result.
+    """
     local = first_by_prefix(local_runs, prefixes).select(
         "prefix",
         F.col("file_name").alias("local_file"),
@@ -97,11 +101,22 @@ def timing_pairs(local_runs: DataFrame, api_runs: DataFrame, prefixes: list[str]
         (_or_zero("rag_seconds") / 60).alias("local_standard_min"),
         (_or_zero("vanilla_seconds") / 60).alias("local_vanilla_min"),
     )
+
+    def required(part: str) -> Column:
+        lacking = F.raise_error(F.concat("file_name", F.lit(f" lacks {part}"))).cast("double")
+        return F.coalesce(F.col(part), lacking) / 60
+
     api = first_by_prefix(api_runs, prefixes).select(
         "prefix",
         F.col("file_name").alias("api_file"),
-        (F.col("agentic_rag_seconds") / 60).alias("api_agentic_min"),
-        (F.col("standard_rag_seconds") / 60).alias("api_standard_min"),
-        (F.col("vanilla_seconds") / 60).alias("api_vanilla_min"),
+        required("agentic_rag_seconds").alias("api_agentic_min"),
+        required("standard_rag_seconds").alias("api_standard_min"),
+        required("vanilla_seconds").alias("api_vanilla_min"),
     )
-    return local.join(api, "prefix")
+
+    def present(file: str, kind: str) -> Column:
+        return F.coalesce(file, F.raise_error(F.concat(F.lit(f"no {kind} run file starts with "), "prefix")).cast("string"))
+
+    wanted = local_runs.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(prefixes)], "prefix STRING")
+    pairs = wanted.join(local, "prefix", "left").join(api, "prefix", "left")
+    return pairs.withColumns({"local_file": present("local_file", "local"), "api_file": present("api_file", "API")})

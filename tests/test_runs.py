@@ -163,3 +163,14 @@ def test_first_items_filter_reaches_the_scan(spark, tmp_path):
     spark.range(100).select(F.col("id").alias("idx"), F.lit("q").alias("question")).write.parquet(path)
     plan = sampling.first_items(spark.read.parquet(path), 5)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(idx), LessThan(idx,5)]" in plan
+
+
+def test_missing_run_is_an_error(spark):
+    local = spark.createDataFrame([("a-1.json", 60.0, 1.0, None)], "file_name STRING, agentic_seconds DOUBLE, rag_seconds DOUBLE, vanilla_seconds DOUBLE")
+    schema = "file_name STRING, agentic_rag_seconds DOUBLE, standard_rag_seconds DOUBLE, vanilla_seconds DOUBLE"
+    api = spark.createDataFrame([("a-2.json", 60.0, 1.0, 2.0), ("b-1.json", None, 1.0, 2.0)], schema)
+    assert timing.timing_pairs(local, api, ["a-"]).first().local_agentic_min == 1.0
+    with pytest.raises(Exception, match="no local run file starts with b-"):
+        timing.timing_pairs(local, api.fillna(1.0), ["a-", "b-"]).collect()
+    with pytest.raises(Exception, match="b-1.json lacks agentic_rag_seconds"):
+        timing.timing_pairs(local.withColumn("file_name", F.lit("b-0.json")), api, ["b-"]).collect()
