@@ -15,6 +15,9 @@ from evalweave.schemas import CHUNK
 # Separators from coarse to fine, tried in this order.
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 
+# Steps whose lengths are added up together.
+OFFSET_BLOCK = 64
+
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -26,8 +29,9 @@ def count_tokens(text: str) -> int:
 def word_chunks(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
     """Windows of ``size`` words, each sharing ``overlap`` words with the one before.
 
-    Built from array functions only, so no row leaves the JVM. Offsets are running
-    sums over the ``size - overlap`` word steps, each of which is measured once.
+    Built from array functions only, so no row leaves the JVM. Offsets are sums over
+    the ``size - overlap`` word steps, each of which is measured once: whole blocks of
+    steps first, then the rest of a block, so long texts cost no square of their chunks.
     """
     step = size - overlap
     words = F.split("text", " ")
@@ -38,10 +42,16 @@ def word_chunks(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFram
     lengths = F.transform(
         "starts", lambda s: F.length(F.array_join(F.slice("words", s + 1, step), " ")) + 1
     )
+    cut = cut.withColumn("lengths", lengths)
+
+    def total(first, count):
+        return F.aggregate(F.slice("lengths", first + 1, count), F.lit(0), lambda a, n: a + n)
+
+    blocks = F.sequence(F.lit(0), F.size("lengths") - 1, F.lit(OFFSET_BLOCK))
     cut = cut.withColumn(
-        "offsets",
+        "bases",
         F.aggregate(
-            lengths,
+            F.transform(blocks, lambda first: total(first, F.lit(OFFSET_BLOCK))),
             F.array(F.lit(0)).cast("array<int>"),
             lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n),
         ),
@@ -49,7 +59,7 @@ def word_chunks(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFram
     pieces = F.transform(
         "starts",
         lambda s, i: F.struct(
-            F.get("offsets", i).alias("start_index"),
+            (F.get("bases", F.floor(i / OFFSET_BLOCK).cast("int")) + total(i - i % OFFSET_BLOCK, i % OFFSET_BLOCK)).alias("start_index"),
             F.array_join(F.slice("words", s + 1, size), " ").alias("content"),
         ),
     )
