@@ -13,9 +13,11 @@ lets through.
    groups first gives pairs with its smallest group only.
 3. Group pairs are expanded to class pairs and verified on whole sets.
 4. Long lists whose members are not all connected by then are compared once more, in
-   blocks, but only across components, and only pairs whose shingle histograms allow t.
-   Members already connected need no further pair to be in one component. This is exact:
-   every link between different components is found.
+   blocks, but only across components, and only pairs whose shingle histograms allow t:
+   first every member outside the largest component with its nearest partners by that
+   bound, then, where components remain apart, with all. Members already connected need
+   no further pair to be in one component. This is exact: every link between different
+   components is found.
 
 Sets are compared by 64-bit hashes of their shingles.
 """
@@ -40,6 +42,8 @@ SKETCH_BITS = 20
 SHORT_LIST = 8
 #: Postings of one bucket, and members of one block of a long list.
 BUCKET_ROWS, BLOCK_MEMBERS = 200_000, 2_048
+#: Partners tried before all.
+NEAREST = 3
 _BLOCK_BITS = 14
 #: Bits of the filter of wanted documents; when it fills up, more texts are read again.
 FILTER_BITS = 1 << 24
@@ -57,8 +61,8 @@ def _class_of(elements: np.ndarray) -> tuple[int, int]:
 
 
 def histogram(elements: np.ndarray) -> bytes:
-    """How many elements end in each bit pattern, two to four by pattern; empty if a count exceeds a byte."""
-    cells = 1 << max(4, (len(elements) // 2).bit_length())
+    """How many elements end in each bit pattern, of which there are one to two by element; empty if a count exceeds a byte."""
+    cells = 1 << max(4, len(elements).bit_length())
     counts = np.bincount((elements & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
@@ -299,8 +303,12 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int)
     return _verified(allowed, sets, percent)
 
 
-def _across(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of long ``lists`` (list, cid) in different components that their histograms allow."""
+def _across(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
+    """Pairs of members of long ``lists`` (list, cid) in different components that their histograms allow.
+
+    Every such pair has a member outside the component that most members are in, so
+    only those look for partners: for all, or for the few of the highest bounds.
+    """
     known = lists.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     spread = known.groupBy("list").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
     blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
@@ -320,8 +328,10 @@ def _across(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         left, right = np.flatnonzero(sides == low), np.flatnonzero(sides == high)
         out = [np.zeros((0, 2), dtype=np.int64)]
-        for one in left.tolist():
-            near = right[(labels_[right] != labels_[one]) & (100 * np.minimum(sizes[right], sizes[one]) >= percent * np.maximum(sizes[right], sizes[one]))]
+        names, counts = np.unique(labels_, return_counts=True)
+        small = labels_ != names[counts.argmax()]
+        for one, others in [*((k, right) for k in left[small[left]].tolist()), *((k, left) for k in (right[small[right]].tolist() if low != high else ()))]:
+            near = others[(labels_[others] != labels_[one]) & (100 * np.minimum(sizes[others], sizes[one]) >= percent * np.maximum(sizes[others], sizes[one]))]
             need = -(-percent * (sizes[near] + sizes[one]) // (100 + percent))
             bound = np.full(len(near), 1 << 62, dtype=np.int64)
             k = int(cells[one])
@@ -330,7 +340,11 @@ def _across(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
                 at = np.flatnonzero(cells[near] == length)
                 if len(at) and length:
                     bound[at] = np.minimum(theirs[length][row[near[at]]], mine[k][row[one]]).sum(axis=1, dtype=np.int64)
-            near = near[bound >= need]
+            allowed = bound >= need
+            if nearest_only and allowed.any():
+                allowed = np.flatnonzero(allowed)
+                allowed = allowed[np.argsort(-bound[allowed] / need[allowed], kind="stable")[:NEAREST]]
+            near = near[allowed]
             out.append(np.stack((np.minimum(cids[near], cids[one]), np.maximum(cids[near], cids[one])), axis=1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
@@ -370,8 +384,10 @@ def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     links = _links(pairs, texts, classes, percent)
     labels = components(links)
-    more = written(_across(lists, classes, labels, percent), "jaccard-pairs")
-    if not more.isEmpty():
+    for nearest_only in (True, False):
+        more = written(_across(lists, classes, labels, percent, nearest_only), "jaccard-pairs")
+        if more.isEmpty():
+            break
         links = links.unionByName(_links(more, texts, classes, percent))
         labels = components(links)
 
