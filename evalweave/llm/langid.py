@@ -29,6 +29,8 @@ MOST_LANGUAGES = 2_000
 UNDETERMINED = "und"
 _BLANK = 0x20
 _CACHED_GRAMS = 40_000
+#: n-grams whose vectors are taken at a time; a slice may have any number of them.
+_BLOCK_GRAMS = 16_384
 
 
 class GramVectors:
@@ -51,7 +53,7 @@ class GramVectors:
         return self.letter[point]
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        """int8 rows for distinct ``codes`` in ascending order."""
+        """int8 rows for distinct ``codes`` in ascending order, of which there are ``_CACHED_GRAMS`` at most."""
         at = np.searchsorted(self.codes, codes)
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == codes[known]
@@ -70,6 +72,20 @@ class GramVectors:
             at = np.searchsorted(self.codes, codes)
         return self.rows[at]
 
+    def bundles(self, codes: np.ndarray, where: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """Sums of the vectors of the n-grams ``codes[where]`` by ``owner``, block by block of the codes."""
+        sums = np.zeros((owners, self.dims), dtype=np.float64)
+        size = min(_BLOCK_GRAMS, _CACHED_GRAMS)
+        if len(codes) > size:
+            order = np.argsort(where, kind="stable")
+            where, owner = where[order], owner[order]
+        for at in range(0, len(codes), size):
+            block = codes[at : at + size]
+            own = slice(*np.searchsorted(where, [at, at + size])) if len(codes) > size else slice(None)
+            counts = np.bincount(owner[own] * len(block) + where[own] - at, minlength=owners * len(block)).reshape(owners, -1)
+            sums += counts.astype(np.float32) @ self(block).astype(np.float32)
+        return sums
+
     def _keep(self, codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         joined = np.concatenate((self.codes, codes))
         order = np.argsort(joined)
@@ -159,12 +175,10 @@ def learn(docs: DataFrame, dims: int = DIMS, order: int = ORDER) -> Profiles:
                 codes, where, owner = grams(part)
                 if not len(codes):
                     continue
-                rows = vectors(codes)
                 found = sorted({names[number] for number, _ in part})
                 language = np.array([found.index(names[number]) for number, _ in part])[owner]
-                counts = np.bincount(language * len(codes) + where, minlength=len(found) * len(codes)).reshape(len(found), -1)
-                for name, total in zip(found, counts.astype(np.float32) @ rows.astype(np.float32)):
-                    sums[name] = sums.get(name, 0) + total.astype(np.float64)
+                for name, total in zip(found, vectors.bundles(codes, where, language, len(found))):
+                    sums[name] = sums.get(name, 0) + total
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "sums": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
 
@@ -206,8 +220,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                     codes, where, owner = grams(part)
                     if not len(codes):
                         continue
-                    counts = np.bincount(owner * len(codes) + where, minlength=len(part) * len(codes)).reshape(len(part), -1)
-                    np.add.at(sums, [number for number, _ in part], counts.astype(np.float32) @ vectors(codes).astype(np.float32))
+                    np.add.at(sums, [number for number, _ in part], vectors.bundles(codes, where, owner, len(part)))
                 lengths = np.linalg.norm(sums, axis=1)
                 known = (lengths > 0) & bool(names)
                 cosine = np.zeros((len(texts), max(1, len(names))))

@@ -173,6 +173,23 @@ def test_language_vectors_by_hand():
     assert (row == np.roll(vectors._letter(32), 2) * np.roll(vectors._letter(ord("a")), 1) * vectors._letter(ord("b"))).all()
 
 
+def test_language_of_many_letters(docs_of):
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + k) for k in range(6_000)]
+    text = " ".join("".join(rng.choices(letters, k=12)) for _ in range(5_000))
+    rows = [(0, text), (1, "plain words of one small text"), (2, None)]
+    docs = docs_of(rows, 1).withColumn("lang", F.when(F.col("doc_id") == 0, "han").when(F.col("doc_id") == 1, "plain"))
+    profiles = langid.learn(docs, dims=64)
+    codes, where, _ = langid.Grams(3)([(0, text)])
+    assert len(codes) > langid._CACHED_GRAMS
+    vectors, total = langid.GramVectors(64, 3), np.zeros(64)
+    for at in range(0, len(codes), 1_000):
+        total += np.bincount(where, minlength=len(codes))[at : at + 1_000] @ vectors(codes[at : at + 1_000]).astype(np.int64)
+    assert profiles.languages == ["han", "plain"] and np.allclose(profiles.prototypes[0], total / np.linalg.norm(total), atol=1e-6)
+    found = {row.doc_id: (row.lang_pred, round(row.score, 5)) for row in langid.identify(docs, profiles).collect()}
+    assert found == {0: ("han", 1), 1: ("plain", 1), 2: ("und", 0)}
+
+
 def test_quality(spark, docs_of):
     rng = random.Random(1)
     def spelt(k):
