@@ -1,12 +1,11 @@
 """Removal of passages repeated across documents, by content-defined chunks of lines.
 
-Lines are hashed, and lines that occur more than once are kept for comparison. Where
-their global count changes, or a line that occurs once lies between, one passage ends
-and another begins. Inside a passage a rolling hash over the last two line hashes cuts
-chunks (one cut in ``CUT_EVERY`` lines on average), and a line of passage length stands
-alone: boundaries depend on nearby content only, so text put in or taken out elsewhere
-shifts none of them. Chunks of multi-line or long passages that occur more than once are
-removed everywhere but at their first place, after their bytes were compared.
+Every two neighbouring lines of a document are a chunk, and so is a line of passage length
+alone: what a chunk is depends on its own lines only, so text put in, edited or taken out
+elsewhere changes none of the others. A chunk that stands at an earlier place too is
+removed, after its bytes were compared. Chunks overlap, so a repeated passage of any
+length goes whole, however often its single lines stand elsewhere, and a short line goes
+only together with a neighbour that stands beside it at the earlier place as well.
 
 All steps are DataFrame operations. Only hashes travel until the bytes of repeated
 chunks are needed; counts and comparisons are aggregates combined before the shuffle, so
@@ -16,11 +15,12 @@ whole texts merge at every size, so that trials on small tables show what large
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.session import written
 
+#: Was the mean distance of cuts; a chunk now begins at every line.
 CUT_EVERY = 2
 #: Words from which on a single line is a passage.
 LONG_WORDS = 50
@@ -34,32 +34,25 @@ def _lines(text: str) -> F.Column:
     return F.split(text, "\n", -1)
 
 
-def repeated_chunks(docs: DataFrame, cut_every: int = CUT_EVERY, long_words: int = LONG_WORDS) -> DataFrame:
-    """Every chunk of a passage that repeats: key, doc_id, first line, line numbers, chunk hash."""
+def line_chunks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """Every chunk: key, doc_id, line numbers, chunk hash."""
     numbered = F.filter(F.transform(_lines("text"), lambda line, at: F.struct(at.alias("at"), line.alias("line"))), lambda item: F.trim(item["line"]) != "")
-    lines = _keyed(docs.where("text IS NOT NULL")).select("_key", "doc_id", F.posexplode(numbered).alias("rank", "item"))
-    line = F.col("item.line")
-    words = F.length(line) - F.length(F.translate(line, " ", "")) + 1
-    hashed = written(lines.select("_key", "doc_id", "rank", F.col("item.at").alias("at"), F.xxhash64(line).alias("hash"), words.alias("words")), "line-hashes")
-    # Equal rows are one document: a passage repeats only if it has two places.
-    counts = hashed.groupBy("hash").agg(F.count("*").alias("count")).where("count > 1")
-    order = Window.partitionBy("_key").orderBy("rank")
-    before = lambda name: F.lag(name).over(order)
-    shared = hashed.dropDuplicates(["_key", "rank"]).join(counts, "hash")
-    new_run = F.coalesce((F.col("rank") != before("rank") + 1) | (F.col("count") != before("count")), F.lit(True))
-    cut = new_run | (F.pmod(F.xxhash64(before("hash"), "hash"), F.lit(cut_every)) == 0) | (F.col("words") >= long_words) | (before("words") >= long_words)
-    flagged = shared.select("*", new_run.cast("int").alias("new_run"), cut.cast("int").alias("cut"))
-    placed = flagged.select("*", F.sum("new_run").over(order).alias("run"), F.sum("cut").over(order).alias("chunk"))
-    run = Window.partitionBy("_key", "run")
-    sized = placed.select("*", F.count("*").over(run).alias("run_lines"), F.sum("words").over(run).alias("run_words"))
-    passages = sized.where((F.col("run_lines") > 1) | (F.col("run_words") >= long_words))
-    chunks = passages.groupBy("_key", "doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("own"))
-    return chunks.select("_key", "doc_id", F.col("own.at").alias("places"), F.xxhash64(F.col("own.hash")).alias("chunk_hash"))
-
-
-def repeats(docs: DataFrame, cut_every: int = CUT_EVERY, long_words: int = LONG_WORDS) -> DataFrame:
+
+    def hashes(item: F.Column, after: F.Column) -> F.Column:
+        line = item["line"]
+        words = F.length(line) - F.length(F.translate(line, " ", "")) + 1
+        pair = F.when(after.isNotNull(), F.struct(F.array(item["at"], after["at"]).alias("places"), F.xxhash64(line, after["line"]).alias("chunk_hash")))
+        alone = F.when(words >= long_words, F.struct(F.array(item["at"]).alias("places"), F.xxhash64(line).alias("chunk_hash")))
+        return F.array(pair, alone)
+
+    chunks = F.array_compact(F.flatten(F.zip_with(numbered, F.slice(numbered, F.lit(2), F.size(numbered)), hashes)))
+    return _keyed(docs.where("text IS NOT NULL")).select("_key", "doc_id", F.explode(chunks).alias("chunk")).select("_key", "doc_id", "chunk.places", "chunk.chunk_hash")
+
+
+def repeats(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """_key and line numbers of all chunks but the first of each kind, compared byte by byte."""
-    chunks = written(repeated_chunks(docs, cut_every, long_words), "line-chunks")
+    chunks = written(line_chunks(docs, long_words), "line-chunks")
+    # Equal rows are one document: a chunk repeats only if it has two places.
     again = chunks.groupBy("chunk_hash").agg(F.count("*").alias("count")).where("count > 1").select("chunk_hash")
     wanted = written(chunks.join(again, "chunk_hash", "left_semi"), "line-chunks")
     texts = _keyed(docs.where("text IS NOT NULL")).select("_key", "text")
@@ -67,11 +60,12 @@ def repeats(docs: DataFrame, cut_every: int = CUT_EVERY, long_words: int = LONG_
     found = by_document.join(texts.hint("merge"), "_key").select("_key", "doc_id", _lines("text").alias("lines"), F.explode("chunks").alias("chunk"))
     passage = F.array_join(F.transform("chunk.places", lambda at: F.get("lines", at)), "\n")
     filled = written(found.select("_key", "doc_id", "chunk.chunk_hash", "chunk.places", passage.alias("passage")).dropDuplicates(["_key", "places"]), "line-passages")
-    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "_key", F.get("places", F.lit(0)).alias("at"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "_key", F.get("places", F.lit(0)).alias("at"), F.element_at("places", -1).alias("last"))
     # The grouping compares the passages themselves; the hash only deals them out.
     first = filled.groupBy("chunk_hash", "passage").agg(F.min(place).alias("first"), F.count("*").alias("count")).where("count > 1").drop("count")
     same = (filled["chunk_hash"] == first["chunk_hash"]) & (filled["passage"] == first["passage"])
-    return filled.join(first, same).where((F.col("first._key") != F.col("_key")) | (F.col("first.at") != F.get("places", F.lit(0)))).select("_key", "places")
+    # A place that overlaps the first one is part of it.
+    return filled.join(first, same).where((F.col("first._key") != F.col("_key")) | (F.get("places", F.lit(0)) > F.col("first.last"))).select("_key", "places")
 
 
 def remove_repeats(docs: DataFrame, cut_every: int = CUT_EVERY, long_words: int = LONG_WORDS) -> DataFrame:
@@ -81,10 +75,11 @@ def remove_repeats(docs: DataFrame, cut_every: int = CUT_EVERY, long_words: int
     hash of the text and line). Blank lines neither match nor part a passage and stay.
     Null and empty texts stay as they are; rows equal in doc_id and text are one
     document, all of them treated alike; an empty table gives an empty one. A column
-    removed_lines of the input is replaced.
+    removed_lines of the input is replaced. ``cut_every`` is accepted for callers that
+    still name it and changes nothing.
     """
     own = docs.drop("removed_lines")
-    taken = repeats(own.select("doc_id", "text"), cut_every, long_words).groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("_taken"))
+    taken = repeats(own.select("doc_id", "text"), long_words).groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("_taken"))
     joined = _keyed(own).hint("merge").join(written(taken, "line-repeats"), "_key", "left")
     kept = F.filter(F.transform(_lines("text"), lambda line, at: F.struct(at.alias("at"), line.alias("line"))), lambda item: ~F.array_contains("_taken", item["at"]))
     text = F.when(F.col("_taken").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda item: item["line"]), "\n"))

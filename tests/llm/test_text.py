@@ -149,6 +149,24 @@ def test_no_line_is_lost_and_no_passage_stays(docs_of):
     assert set(kept) == given and set(kept.values()) == {1}
 
 
+def test_line_also_elsewhere(docs_of):
+    for cut in range(6):
+        three = [f"{name}{cut} " + "w " * 19 for name in "ABC"]
+        rows = [(k, "\n".join([f"before {k}", *three, f"after {k}"])) for k in range(1, 6)] + [(0, f"q\n{three[1]}\nr")]
+        found = {row.doc_id: (row.text, row.removed_lines) for row in lines.remove_repeats(docs_of(rows)).collect()}
+        assert found == {0: (rows[-1][1], 0), 1: (rows[0][1], 0), **{k: (f"before {k}\nafter {k}", 3) for k in range(2, 6)}}
+
+
+def test_near_copies_with_scattered_edits(docs_of):
+    whole = [f"line {j} of the common text" for j in range(40)]
+    rows = [(k, "\n".join(f"edit {k}" if k and j == k % 40 else line for j, line in enumerate(whole))) for k in range(100)]
+    found = {row.doc_id: row.text for row in lines.remove_repeats(docs_of(rows)).collect()}
+    assert found[0] == rows[0][1]
+    # At the ends an edit leaves one line of the text without a neighbour beside it.
+    assert all(found[k].split("\n") == [f"edit {k}"] for k in range(1, 100) if 1 < k % 40 < 38)
+    assert all(len(found[k].split("\n")) <= 2 for k in range(1, 100))
+
+
 def test_language(docs_of, spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4)
     marked = docs.withColumn("held_out", langid.held_out(F.col("doc_id")))
