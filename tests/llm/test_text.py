@@ -167,6 +167,15 @@ def test_near_copies_with_scattered_edits(docs_of):
     assert all(len(found[k].split("\n")) <= 2 for k in range(1, 100))
 
 
+def test_short_lines_stay_without_their_neighbour(docs_of):
+    rows = [(2 * k + j, f"greeting {k}\n{'left' if j else 'right'} {k}") for k in range(40) for j in range(2)]
+    rows += [(1000 + k, f"{side} {k}\nother {side} {k}") for k in range(40) for side in ("left", "right")]
+    rows += [(2000, "a\na\na")]
+    rows = [(k, text) for k, (_, text) in enumerate(rows)]
+    found = {row.doc_id: row.text for row in lines.remove_repeats(docs_of(rows)).collect()}
+    assert found == dict(rows)
+
+
 def test_language(docs_of, spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4)
     marked = docs.withColumn("held_out", langid.held_out(F.col("doc_id")))
