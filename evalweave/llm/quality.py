@@ -31,8 +31,9 @@ BITS = 28
 MOST_RATED = 8_000
 #: A hash must occur in this many sampled documents to get a weight.
 LEAST_DOCUMENTS = 4
-#: and in no larger share of them: what every text has tells no grades apart.
-MOST_SHARE = 0.2
+#: One in more than this share of them gets a weight only if its share differs between the
+#: grades beyond chance (normal quantile of the chi-square test): what every text has tells none apart.
+COMMON_SHARE, LEAST_SIGMAS = 0.2, 3.1
 PENALTY, RATE, ROUNDS, BATCH, SEED = 0.0005, 0.3, 24, 256, 7
 SELECT_AT = 0.5
 #: Stands for a piece that comes three times in a row.
@@ -121,14 +122,27 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rated: int = MOST
     return _fit([np.frombuffer(row.hashes, dtype="<i8") for row in rows], np.array([row.grade for row in rows], dtype=np.int64), grades)
 
 
+def _differs(by_grade: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Whether the shares of the grades' ``documents`` that hold a hash (a row) differ beyond chance."""
+    held = documents > 0
+    by_grade, documents, free = by_grade[:, held], documents[held], held.sum() - 1
+    if free < 1:
+        return np.zeros(len(by_grade), dtype=bool)
+    share = by_grade.sum(axis=1, keepdims=True) / documents.sum()
+    chi_square = ((by_grade - share * documents) ** 2 / np.maximum(share * (1 - share) * documents, 1e-9)).sum(axis=1)
+    return chi_square > free * (1 - 2 / (9 * free) + LEAST_SIGMAS * np.sqrt(2 / (9 * free))) ** 3
+
+
 def _fit(features: list[np.ndarray], marks: np.ndarray, grades: int) -> OrdinalModel:
     """Stochastic proximal gradients with a step for each weight."""
     frequency = np.bincount(marks, minlength=grades) + 1.0
     above = np.cumsum(frequency[::-1])[::-1][1:] / frequency.sum()
     thresholds = -np.log(above / (1 - above))
     none = np.zeros(0, dtype=np.int64)
-    hashes, counts = np.unique(np.concatenate([none, *features]), return_counts=True)
-    hashes = hashes[(counts >= LEAST_DOCUMENTS) & (counts <= MOST_SHARE * len(features))]
+    hashes, back, counts = np.unique(np.concatenate([none, *features]), return_inverse=True, return_counts=True)
+    owners = np.repeat(marks, [len(own) for own in features])
+    by_grade = np.bincount(back * grades + owners, minlength=len(hashes) * grades).reshape(-1, grades)
+    hashes = hashes[(counts >= LEAST_DOCUMENTS) & ((counts <= COMMON_SHARE * len(features)) | _differs(by_grade, np.bincount(marks, minlength=grades)))]
     weights, seen = np.zeros(len(hashes)), np.full(len(hashes), 1e-6)
     seen_thresholds = np.full(grades - 1, 1e-6)
     rows = []

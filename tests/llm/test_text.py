@@ -246,6 +246,18 @@ def test_quality(spark, docs_of):
     assert len(unrated.weights) == 0 and quality.rate(docs_of([]), unrated, 2).collect() == []
 
 
+def test_quality_of_a_hot_source(spark, docs_of):
+    rng = random.Random(2)
+    spelt = ["".join("abcdefghij"[int(digit)] for digit in str(k)) for k in range(300)]
+    rows = []
+    for k in range(900):
+        words = ["common", *(f"plain{rng.choice(spelt)}" for _ in range(60))]
+        rows.append((k, " ".join([*words, "subscribe", "casino", "winner"] if k % 3 == 0 else words)))
+    rated = spark.createDataFrame([(k, 1 if k % 3 == 0 else 2) for k in range(600)], "doc_id BIGINT, grade INT")
+    found = quality.rate(docs_of(rows), quality.fit(docs_of(rows), rated, 3), 2).where("doc_id >= 600").collect()
+    assert sum(row.selected == (row.doc_id % 3 != 0) for row in found) >= 0.97 * len(found)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = [docs]
