@@ -99,7 +99,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rated: int = MOST
     """A model from ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade 0..grades-1).
 
     Rows without an id or a valid grade are left out, as are ratings of no document.
-    Of several ratings of one document the lowest counts. Null texts have no features.
+    Of several ratings of one document the lowest counts, of several documents with one
+    id one. Null texts have no features.
     Without ratings the weights are empty and all grades equally likely.
     """
     valid = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1))
@@ -107,17 +108,19 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rated: int = MOST
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _loaded()
-        for texts, marks in row_slices(batches):
+        for ids, texts, marks in row_slices(batches):
             found: list[list[np.ndarray]] = [[] for _ in texts]
             for part in slices(["" if text is None else text.lower() for text in texts]):
                 hashes, owner = hasher(part)
                 for number in np.unique(owner).tolist():
                     found[number].append(hashes[owner == number])
             packed = [np.unique(np.concatenate(own)).astype("<i8").tobytes() if own else b"" for own in found]
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(packed, pa.binary())], names=["grade", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "grade", "hashes"])
 
-    rated = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
-    rows = rated.mapInArrow(features, "grade INT, hashes BINARY").collect()  # most_rated rows
+    rated = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
+    # Rows of one doc_id are combined before the shuffle; the smallest bytes stand for it.
+    single = rated.mapInArrow(features, "doc_id BIGINT, grade INT, hashes BINARY").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("hashes").alias("hashes"))
+    rows = single.select("grade", "hashes").collect()  # most_rated rows
     rows.sort(key=lambda row: (row.grade, bytes(row.hashes)))
     return _fit([np.frombuffer(row.hashes, dtype="<i8") for row in rows], np.array([row.grade for row in rows], dtype=np.int64), grades)
 

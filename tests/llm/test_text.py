@@ -258,6 +258,15 @@ def test_quality_of_a_hot_source(spark, docs_of):
     assert sum(row.selected == (row.doc_id % 3 != 0) for row in found) >= 0.97 * len(found)
 
 
+def test_quality_takes_a_row_by_id(spark, docs_of, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "_fit", lambda features, marks, grades: fitted.append(sorted(marks.tolist())))
+    rows = [(k, f"text {k}") for k in range(6)] + [(3, f"another text {k}") for k in range(30)]
+    rated = spark.createDataFrame([(k, k % 3) for k in range(6)], "doc_id BIGINT, grade INT")
+    quality.fit(docs_of(rows), rated, 3)
+    assert fitted == [[0, 0, 1, 1, 2, 2]]
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = [docs]
