@@ -8,7 +8,7 @@ its own input only; ratings come from ``labels``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import jaccard, langid, lines, packing, quality
@@ -16,7 +16,12 @@ from evalweave.session import written
 
 #: Selected for good quality from this tail probability on.
 GOOD_FROM = 0.5
-#: Cosine below which a text is in no language that was learned.
+#: A text is in no language that was learned if its cosine is below this part of what all but a
+#: twentieth of the training documents of that language and of its length (by octave) reach.
+PART_OF_LOW, LOW_QUANTILE = 2 / 3, 0.05
+#: With fewer training documents than this, those of all languages count; with fewer of these, shorter ones.
+LEAST_OF_LANGUAGE, LEAST_OF_LENGTH = 20, 5
+#: The bound for texts shorter than any of those.
 LEAST_SCORE = 0.02
 PERCENT = 75
 CAPACITY, END_ID = 2048, 0
@@ -30,11 +35,32 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.rate(docs, model, select_grade=2, at_least=GOOD_FROM).where("selected").select(docs.columns)
 
 
+def _octave() -> Column:
+    return F.floor(F.log2(F.greatest(F.length("text"), F.lit(1)))).cast("int")
+
+
+def least_scores(docs: DataFrame, profiles: langid.Profiles) -> list[tuple[str, int, float]]:
+    """The least cosine by language and octave of length, from all of ``docs`` (text, lang) that are recognised."""
+    scored = langid.identify(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"), profiles).where("lang = lang_pred")
+    low = F.percentile_approx("score", LOW_QUANTILE, 10_000).alias("low")
+    # A row by octave and language, and one by octave for all languages: at most 33 x (MOST_LANGUAGES + 1).
+    found = scored.select(_octave().alias("octave"), "lang", "score").rollup("octave", "lang").agg(F.count("*").alias("n"), low).where("octave IS NOT NULL").collect()
+    own = {(row.lang, row.octave): row.low for row in found if row.n >= (LEAST_OF_LENGTH if row.lang is None else LEAST_OF_LANGUAGE)}
+    out, below = [], LEAST_SCORE
+    for octave in range(32):
+        below = max(LEAST_SCORE, PART_OF_LOW * own[None, octave]) if (None, octave) in own else below
+        for name in profiles.languages:
+            out.append((name, octave, max(LEAST_SCORE, PART_OF_LOW * own[name, octave]) if (name, octave) in own else below))
+    return out
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, which becomes their lang; those without letters or like no language go."""
     profiles = langid.learn(docs.select("text", "lang"))
-    judged = langid.identify(docs, profiles).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return judged.select(*(F.col("lang_pred").alias("lang") if name == "lang" else F.col(name) for name in docs.columns))
+    least = spark.createDataFrame(least_scores(docs, profiles), "lang_pred STRING, _octave INT, _least DOUBLE")
+    judged = langid.identify(docs, profiles).where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("_octave", _octave())
+    known = judged.join(F.broadcast(least), ["lang_pred", "_octave"]).where(F.col("score") >= F.col("_least"))
+    return known.select(*(F.col("lang_pred").alias("lang") if name == "lang" else F.col(name) for name in docs.columns))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,20 @@ def test_quality_takes_a_row_by_id(spark, docs_of, monkeypatch):
     assert fitted == [[0, 0, 1, 1, 2, 2]]
 
 
+def test_pipeline_rejects_other_languages(spark, sf_dir):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) >= 200")
+    noise = [(-k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2 ** rng.randint(6, 10)))) for k in range(1, 61)]
+    other = F.when(F.col("lang") != "de", F.col("lang")).alias("lang")
+    mixed = docs.select("doc_id", "text", other).unionByName(spark.createDataFrame(noise, "doc_id BIGINT, text STRING").withColumn("lang", F.lit(None).cast("string")))
+    stay = {row.doc_id for row in corpus_pipeline.identify_language(spark, mixed, sf_dir).collect()}
+    given = {row.doc_id: row.lang for row in docs.collect()}
+    learned, unlearned = ([k for k, lang in given.items() if (lang == "de") == side] for side in (False, True))
+    assert unlearned and sum(k in stay for k in learned) >= 0.97 * len(learned)
+    assert sum(k in stay for k in unlearned) <= 0.05 * len(unlearned) and not any(-k in stay for k in range(1, 61))
+    assert corpus_pipeline.identify_language(spark, mixed.limit(0), sf_dir).collect() == []
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = [docs]
