@@ -28,10 +28,12 @@ CAPACITY, END_ID = 2048, 0
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being good reaches ``GOOD_FROM``; toxic ones and junk go."""
+    """Documents whose probability of being good reaches ``GOOD_FROM``; toxic ones and junk go. All stay if none is rated."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     ratings = labels.select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
     model = quality.fit(docs.select("doc_id", "text"), ratings, grades=3)
+    if not model.rated:
+        return docs
     return quality.rate(docs, model, select_grade=2, at_least=GOOD_FROM).where("selected").select(docs.columns)
 
 

@@ -10,14 +10,14 @@ one of them. An absolute penalty leaves weights only where many rated documents
 so a model is a short list of hashes, and words unknown to it move no score, however
 long the text.
 
-The fit takes a bounded sample of rated rows (``MOST_RATED``, those with the smallest
+The fit takes a bounded sample of rated documents (``MOST_RATED``, those with the smallest
 hash of their id); everything else covers all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ class OrdinalModel:
     hashes: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    #: Rated documents it was fitted on.
+    rated: int = 0
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..; a row for each score."""
@@ -104,7 +106,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rated: int = MOST
     Without ratings the weights are empty and all grades equally likely.
     """
     valid = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1))
-    chosen = valid.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rated)
+    # Only ratings of documents take up places.
+    present = valid.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = present.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rated)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _loaded()
@@ -122,7 +126,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rated: int = MOST
     single = rated.mapInArrow(features, "doc_id BIGINT, grade INT, hashes BINARY").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("hashes").alias("hashes"))
     rows = single.select("grade", "hashes").collect()  # most_rated rows
     rows.sort(key=lambda row: (row.grade, bytes(row.hashes)))
-    return _fit([np.frombuffer(row.hashes, dtype="<i8") for row in rows], np.array([row.grade for row in rows], dtype=np.int64), grades)
+    model = _fit([np.frombuffer(row.hashes, dtype="<i8") for row in rows], np.array([row.grade for row in rows], dtype=np.int64), grades)
+    return replace(model, rated=len(rows))
 
 
 def _differs(by_grade: np.ndarray, documents: np.ndarray) -> np.ndarray:

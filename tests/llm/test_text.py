@@ -258,9 +258,19 @@ def test_quality_of_a_hot_source(spark, docs_of):
     assert sum(row.selected == (row.doc_id % 3 != 0) for row in found) >= 0.97 * len(found)
 
 
+def test_quality_without_ratings_of_the_documents(spark, docs_of, tmp_path):
+    docs = docs_of([(k, f"text {k}") for k in range(20)])
+    ratings = spark.createDataFrame([(k, k % 3) for k in range(2_000)], "doc_id BIGINT, grade INT")
+    assert quality.fit(docs, ratings, 3, most_rated=50).rated == 20
+    for name, rows in (("none", []), ("absent", [(k, 1, 0) for k in range(100, 200)])):
+        spark.createDataFrame(rows, "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = corpus_pipeline.classify_quality(spark, docs, f"{tmp_path}/{name}")
+        assert kept.columns == docs.columns and kept.count() == 20
+
+
 def test_quality_takes_a_row_by_id(spark, docs_of, monkeypatch):
-    fitted = []
-    monkeypatch.setattr(quality, "_fit", lambda features, marks, grades: fitted.append(sorted(marks.tolist())))
+    fitted, fit = [], quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda features, marks, grades: fitted.append(sorted(marks.tolist())) or fit(features, marks, grades))
     rows = [(k, f"text {k}") for k in range(6)] + [(3, f"another text {k}") for k in range(30)]
     rated = spark.createDataFrame([(k, k % 3) for k in range(6)], "doc_id BIGINT, grade INT")
     quality.fit(docs_of(rows), rated, 3)
