@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, jaccard, langid, lines, neighbours, packing, quality, token_counts, token_files, topk
+from evalweave.llm import bpe, jaccard, langid, lines, neighbours, packing, prefix_trie, quality, resampling, token_counts, token_files, topk, toxicity
 from evalweave.session import scratch_path
 
 QUERIES = {}
@@ -79,9 +79,9 @@ def op9_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_impact_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
@@ -96,3 +96,21 @@ WHERE rank <= 20
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard.link_documents(table(spark, sf_dir, "documents"))
     return linked.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.fit(docs, ratings))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
