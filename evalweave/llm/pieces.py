@@ -63,22 +63,39 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+
+
+def char_class(char: str) -> int:
+    """Space, letter, number or other, as the tokenizer's own pattern sees a character: the kind of run it goes on."""
+    return next((k for k, c in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(_split(c + char)) == 1), SPACE)
+
+
 class CharClasses:
-    """Space, letter, number or other for each code point, as the tokenizer's own pattern sees it."""
+    """The class of each code point."""
 
     def __init__(self) -> None:
         self.table = np.full(0x110000, UNKNOWN, dtype=np.uint8)
-        self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
 
     def __call__(self, points: np.ndarray) -> np.ndarray:
         found = self.table[points]
         if (found == UNKNOWN).any():
             for point in np.unique(points[found == UNKNOWN]).tolist():
-                self.table[point] = next((k for k, c in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(self.split(c + chr(point))) == 1), SPACE)
+                self.table[point] = char_class(chr(point))
             found = self.table[points]
         return found
 
 
+_blank: dict[str, bool] = {}
+
+
+def is_blank(char: str) -> bool:
+    """Whether the tokenizer's pattern takes a character for white space; ``str.isspace`` takes some more."""
+    if char not in _blank:
+        _blank[char] = char_class(char) == SPACE
+    return _blank[char]
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
@@ -128,7 +145,7 @@ def slices(texts: list[str], size: int = SLICE_CHARS) -> Iterator[list[tuple[int
             end = len(text)
             if end - at > size:
                 end = at + size
-                while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
+                while end < len(text) and not (is_blank(text[end]) and not is_blank(text[end - 1])):
                     end += 1
             held.append((number, text[at:end]))
             chars += end - at

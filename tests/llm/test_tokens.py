@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from evalweave.llm import bpe, packing, token_counts, token_files
+from evalweave.llm import bpe, packing, pieces, token_counts, token_files
 from evalweave.llm.pieces import ByteBpe
 from evalweave.session import scratch_path
 from tests.llm.conftest import AWKWARD
@@ -76,6 +76,23 @@ class ByteBpeOnce:
         return cls.held
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(alphabet="ab!.'1é \u0085\u001c\u001d\u001e\u001f\u180e\u00a0\u2028\n", max_size=60))
+def test_cut_places(word_library, byte_library, text):
+    """Texts cut every few characters give the pieces of whole ones, whatever counts as white space elsewhere."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pieces.slices, "__defaults__", (7,))
+        assert next(iter(pieces.byte_bpe(BYTE)([text])))[1].tolist() == byte_library.encode(text, add_special_tokens=False).ids
+        assert next(bpe.word_bpe(WORD)([text]))[0].tolist() == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_too_wide():
+    writer = token_files.FrameWriter(None, 2)
+    writer.add(1, np.array([65535], dtype=np.uint32))
+    with pytest.raises(ValueError, match="70000"):
+        writer.add(2, np.array([3, 70000], dtype=np.uint32))
+
+
 def test_encode_documents(docs_of, word_library):
     rows = bpe.encode_documents(docs_of(AWKWARD), WORD, bpe.digests, "n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING").collect()
     expected = []
