@@ -60,6 +60,8 @@ class FrameWriter:
         self.first: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"token id {int(ids.max())} does not fit in {self.dtype.itemsize} bytes")
         self.doc_ids.append(doc_id)
         self.first.append(self.tokens)
         self.tokens += len(ids)
