@@ -218,6 +218,11 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def gapped_log(spark: SparkSession, d: str) -> DataFrame:
+    """The same items at positions two to four apart, as a log has them that lacks some."""
+    return run_log(spark, d).withColumn("idx", F.expr("idx * 3 + idx % 2"))
+
+
 def answer_log(spark: SparkSession, d: str) -> DataFrame:
     """An append-only log in which a user's later events replace the earlier ones."""
     return table(spark, d, "events").select(

@@ -103,6 +103,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "run_log": ((), """SELECT event_id % 3 AS ord,
       CASE event_id % 3 WHEN 0 THEN 'agentic_rag' WHEN 1 THEN 'standard_rag' ELSE 'standard' END AS system_type,
       event_id // 3 AS idx, event_type IN ('error', 'signup') AS is_error, ts FROM events"""),
+    "gapped_log": (("run_log",), "SELECT ord, system_type, idx * 3 + idx % 2 AS idx, is_error, ts FROM run_log"),
     "chunks": (("kb",), f"""SELECT doc_id, s // {STEP} AS chunk_idx,
       CASE WHEN s = 0 THEN 0 ELSE length(array_to_string(list_slice(w, 1, s), ' ')) + 1 END AS start_index,
       array_to_string(list_slice(w, s + 1, s + {CHUNK_SIZE}), ' ') AS content, source

@@ -507,17 +507,17 @@ def retry_plan(spark, d):
 @query(
     "stop_consecutive",
     sql(
-        """, islands AS (SELECT *, sum(CASE WHEN is_error THEN 0 ELSE 1 END) OVER (PARTITION BY system_type ORDER BY idx) AS island FROM run_log),
+        """, islands AS (SELECT *, sum(CASE WHEN is_error THEN 0 ELSE 1 END) OVER (PARTITION BY system_type ORDER BY idx) AS island FROM gapped_log),
         streaks AS (SELECT *, sum(CASE WHEN is_error THEN 1 ELSE 0 END) OVER (PARTITION BY system_type, island ORDER BY idx) AS streak FROM islands),
         stops AS (SELECT ord, min(idx) AS stop_idx FROM streaks WHERE streak >= 6 GROUP BY ord),
         first AS (SELECT ord AS stop_ord, stop_idx FROM stops ORDER BY ord LIMIT 1)
-        SELECT system_type, idx, CAST(is_error AS BIGINT) AS is_error FROM run_log LEFT JOIN first ON true
+        SELECT system_type, idx, CAST(is_error AS BIGINT) AS is_error FROM gapped_log LEFT JOIN first ON true
         WHERE stop_ord IS NULL OR ord < stop_ord OR (ord = stop_ord AND idx <= stop_idx)""",
-        "run_log",
+        "gapped_log",
     ),
 )
 def stop_consecutive(spark, d):
-    kept = runlog.stop_after_errors(inputs.run_log(spark, d), limit=6)
+    kept = runlog.stop_after_errors(inputs.gapped_log(spark, d), limit=6)
     return kept.select("system_type", "idx", _flag(F.col("is_error"), "is_error"))
 
 

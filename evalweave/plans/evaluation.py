@@ -14,7 +14,7 @@ from evalweave.functions.retry import retry_action
 from evalweave.functions.text import leak_error
 from evalweave.operators.attempts import resolve_attempts
 from evalweave.operators.inference import AnswerFn, attach_answers, run_batch
-from evalweave.operators.runlog import stop_after_errors, stop_points
+from evalweave.operators.runlog import Streaks, error_streaks, rows_before
 from evalweave.operators.sampling import first_items, items_by_id, items_from, remaining_items
 from evalweave.operators.scoring import parse_verdicts, score, scoreboard
 from evalweave.plans.retrieval import GOOD_HITS, GOOD_SCORE, SEARCH_ROUNDS, refined_contexts, retrieve
@@ -320,6 +320,9 @@ def resume_verdicts(
     result mark are null. Judging stops for good after ``max_consecutive_errors`` errors
     in a row: it is looked for after every wave, so at most one wave of calls comes
     after it, and verdicts past that point are not logged and will be asked for again.
+    What earlier waves of a system ended with is carried as a summary, so each wave is
+    judged, summed up and logged once, however many there are. Positions that were logged
+    in an earlier run, or that do not exist, neither add to errors in a row nor part them.
     """
     spark = answers.sparkSession
     schema = (
@@ -328,15 +331,14 @@ def resume_verdicts(
     )
     logged = load_system_results(spark, verdict_log, schema)
     todo = written(answers.join(logged.select("system_type", "idx"), ["system_type", "idx"], "left_anti"), "unjudged")
-    judged: list[DataFrame] = []
     for system in SYSTEM_TYPES:
+        before = Streaks(max_consecutive_errors)
         for wave in _waves(todo.where(F.col("system_type") == system), wave_rows):
-            judged.append(_judged_wave(wave, load_judge, max_retries, parallelism))
-            so_far = reduce(DataFrame.unionByName, judged)
-            kept = written(stop_after_errors(so_far, max_consecutive_errors), "kept-verdicts")
-            new = kept.join(judged[-1].select("system_type", "idx"), ["system_type", "idx"], "left_semi")
-            new.write.mode("append").partitionBy("system_type").parquet(verdict_log)
-            if not stop_points(so_far, max_consecutive_errors).join(so_far, "system_type").where("idx = stop_idx").isEmpty():
+            judged = _judged_wave(wave, load_judge, max_retries, parallelism)
+            before = before.then(error_streaks(judged, max_consecutive_errors).get(system, Streaks(max_consecutive_errors)))
+            stop = None if before.stop is None else (system, before.stop)
+            rows_before(judged, stop).write.mode("append").partitionBy("system_type").parquet(verdict_log)
+            if stop is not None:
                 return load_system_results(spark, verdict_log, schema)
     return load_system_results(spark, verdict_log, schema)
 

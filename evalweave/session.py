@@ -101,8 +101,38 @@ def remove_path(spark: SparkSession, path: str) -> None:
         fs.delete(hadoop_path, True)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none where there is no folder."""
+    fs, hadoop_path = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path)) if fs.exists(hadoop_path) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside and then moved into its place."""
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, hadoop_path = _file_system(spark, beside)
+    sink = fs.create(hadoop_path, True)
+    try:
+        sink.write(bytearray(text.encode()))
+    finally:
+        sink.close()
+    move_path(spark, beside, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small file, or None where there is none."""
+    fs, hadoop_path = _file_system(spark, path)
+    if not fs.exists(hadoop_path):
+        return None
+    source = fs.open(hadoop_path)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def move_path(spark: SparkSession, source: str, target: str) -> None:
-    """Put a folder in the place of another, which goes first."""
+    """Put a file or folder in the place of another, which goes first."""
     fs, from_path = _file_system(spark, source)
     to_path = spark._jvm.org.apache.hadoop.fs.Path(target)
     if fs.exists(to_path):

@@ -17,6 +17,7 @@ from evalweave.operators.dedup import unique_chunks
 from evalweave.operators.embedding import DIM, embed_batches, embed_hashed
 from evalweave.schemas import INDEX
 from evalweave.session import move_path, path_exists, remove_path, written
+from evalweave.sources.seen import SeenDirectory
 
 
 HASHING = "hashing"
@@ -122,27 +123,32 @@ def build_or_load_index(
     return spark.read.schema(INDEX).parquet(path)
 
 
-def unseen_chunks(index: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of ``batch`` whose content is not in the index yet.
-
-    The index is first reduced to the hashes it shares with the batch. In that join
-    the batch is the build side, so a small batch is broadcast to the index scan,
-    which reads only its hash column; an anti join straight against the index would
-    have to shuffle all of it.
-    """
-    known = index.select("content_sha").join(batch.select("content_sha"), "content_sha", "left_semi")
-    return batch.join(known.distinct(), "content_sha", "left_anti")
+def seen_directory(spark: SparkSession, path: str) -> SeenDirectory:
+    """The directory of contents beside an index; readers of the index do not see it."""
+    return SeenDirectory(spark, f"{path}/_seen")
 
 
 def append_to_index(docs: DataFrame, path: str, config: IndexConfig | None = None) -> DataFrame:
-    """Add a batch of documents to the index at ``path``; returns the added rows."""
+    """Add a batch of documents to the index at ``path``; returns the added rows.
+
+    The batch meets the index's directory of contents, not the index: only buckets that
+    may hold its contents are read. The directory is made from the index where it is
+    missing, and made anew after an append that was cut off between rows and hashes.
+    """
     spark = docs.sparkSession
     config = config or IndexConfig()
     batch = written(unique_chunks(index_chunks(docs, config)), "append-batch")
-    index = read_index(spark, path)
-    fresh = batch if index is None else unseen_chunks(index, batch)
+    index, seen = read_index(spark, path), seen_directory(spark, path)
+    if index is None:
+        remove_path(spark, seen.path)
+    elif not seen.sound():
+        seen.rebuild(index)
+    seen.begin()
+    version = max(seen.versions(), default=-1) + 1
+    fresh = batch.join(seen.meet(batch.select("content_sha"), version), "content_sha", "left_semi")
     added = written(embed(fresh, config).select(*_columns()), "append-added")
     added.write.mode("append").parquet(path)
+    seen.finish()
     return added
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from evalweave.operators.dedup import unique_chunks
 from evalweave.schemas import LANDED_ANSWER, STREAM_INDEX
-from evalweave.session import is_folder, path_exists, written
-from evalweave.sources.index_store import IndexConfig, embed, index_chunks, unseen_chunks
-from evalweave.sources.state import latest_per_key
+from evalweave.session import is_folder, written
+from evalweave.sources.index_store import IndexConfig, embed, index_chunks, seen_directory
+from evalweave.sources.keyed import KeyedTable
 from evalweave.sources.tables import SCHEMAS, spread
 
 
@@ -38,18 +40,16 @@ def _land(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def ingest_documents(batch: DataFrame, batch_id: int, path: str, config: IndexConfig) -> None:
-    """Chunk a micro-batch, keep contents the index lacks, embed and land them."""
-    spark = batch.sparkSession
-    # Written, its size is known: a small batch is broadcast to the index scan.
+    """Chunk a micro-batch, keep contents no earlier batch has, embed and land them.
+
+    What is known comes from the directory of contents, whose version is the batch: a
+    replayed batch meets the same earlier ones and replaces its rows and hashes.
+    """
     unique = written(unique_chunks(index_chunks(spread(batch), config)), "stream-batch")
-    fresh = unique
-    if path_exists(spark, path):
-        # A replayed batch must not meet its own rows.
-        others = spark.read.schema(STREAM_INDEX).parquet(path).where(F.col("batch_id") != batch_id)
-        fresh = unseen_chunks(others, unique)
+    seen = seen_directory(batch.sparkSession, path)
+    fresh = unique.join(seen.meet(unique.select("content_sha"), batch_id), "content_sha", "left_semi")
     columns = [c for c in StructType.fromDDL(STREAM_INDEX).names if c != "batch_id"]
-    # Landed from a table of its own: rows being replaced may still be read here.
-    _land(written(embed(fresh, config).select(*columns), "stream-added"), path, batch_id)
+    _land(embed(fresh, config).select(*columns), path, batch_id)
 
 
 def start_index_stream(
@@ -65,23 +65,88 @@ def start_index_stream(
     )
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class LatestAnswer(StatefulProcessor):
+    """Remembers the greatest ``seq`` of an index and passes on only rows beyond it."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seq = handle.getValueState("seq", "seq BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best = max(rows, key=lambda row: (row["seq"] is not None, row["seq"] or 0, tuple((row[name] is not None, row[name] or "") for name in self.names[2:])))
+        known = self.seq.get()[0] if self.seq.exists() else None
+        if best["seq"] is not None and (known is None or best["seq"] > known):
+            self.seq.update((best["seq"],))
+            yield Row(**{name: best[name] for name in self.names})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_answers(answers: DataFrame) -> DataFrame:
+    """The stream of changes: rows with a greater ``seq`` than any before of their ``idx``.
+
+    State is one number by index; repeated and late rows go no further. Rows without an
+    index or ``seq`` are left out. Of equal ``seq`` in one batch the greatest row counts.
+    """
+    names = StructType.fromDDL(LANDED_ANSWER).names
+    known = answers.select(*names).where("idx IS NOT NULL AND seq IS NOT NULL")
+    return known.groupBy("idx").transformWithState(LatestAnswer(names), LANDED_ANSWER, "Update", "None")
+
+
+def answer_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, LANDED_ANSWER, ["idx"])
+
+
+def _take_in(changes: DataFrame, batch_id: int, path: str) -> None:
+    table = answer_table(changes.sparkSession, path)
+    table.upsert(changes, batch_id)
+    table.vacuum()
+
+
 def start_answer_stream(answers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Land a stream of answers (``idx, seq, ...``) in the log at ``path``."""
-    return (
-        answers.writeStream.foreachBatch(lambda df, i: _land(df, path, i))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Keep the latest of a stream of answers (``idx, seq, ...``) by index in the table at ``path``.
+
+    Changes are found by a stateful operator, whose state is in the stream's checkpoint, and
+    upserted by micro-batch: the table has one row by index, and a query that starts again
+    from its checkpoint goes on where it was.
+    """
+    conf = answers.sparkSession.conf
+    before = conf.get(_PROVIDER)
+    conf.set(_PROVIDER, ROCKS)  # read when the stream starts
+    try:
+        return (
+            latest_answers(answers)
+            .writeStream.outputMode("update")
+            .foreachBatch(lambda df, i: _take_in(df, i, path))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(_PROVIDER, before)
 
 
 def landed_answers(spark: SparkSession, path: str) -> DataFrame:
-    """Latest landed answer per index."""
-    return latest_per_key(spark.read.schema(LANDED_ANSWER).parquet(path), ["idx"])
+    """Latest landed answer per index: the stored rows as they are."""
+    return answer_table(spark, path).read()
+
+
+def answer_progress(spark: SparkSession, path: str) -> DataFrame:
+    """What the table of answers holds: answered positions, the greatest ``seq``, and the batches taken in."""
+    table = answer_table(spark, path)
+    landed = table.read().agg(F.count(F.lit(1)).alias("answered"), F.max("seq").alias("last_seq"))
+    return landed.withColumn("batches", F.lit(table.manifest()["version"] + 1).cast("bigint"))
 
 
 def landing_progress(spark: SparkSession, path: str) -> DataFrame:
-    """What has landed so far: answered positions, and rows and batches behind them."""
+    """What has landed in a folder by batch: answered positions, and rows and batches behind them."""
     landed = spark.read.schema("idx BIGINT, seq BIGINT, batch_id BIGINT").parquet(path)
     return landed.agg(
         F.count_distinct("idx").alias("answered"),
