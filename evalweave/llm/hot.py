@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot from this many rows on, and from this part of all rows on: so at most ``HOT_PARTS`` are.
-HOT_ROWS, HOT_PARTS = 10_000, 1_000
+HOT_ROWS, HOT_PARTS = 200, 1_000
 
 
 def join_single(rows: DataFrame, single: DataFrame, keys: list[str], weight: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
