@@ -24,7 +24,7 @@ from evalweave.operators.similarity import top_k
 from evalweave.plans import evaluation, retrieval
 from evalweave.plans.retrieval import GOOD_HITS, GOOD_SCORE
 from evalweave.session import scratch_path, shared_path
-from evalweave.sources import index_store, state
+from evalweave.sources import buckets, index_store, state
 from evalweave.sources.tables import SCHEMAS, table, table_version
 from evalweave.streaming import ingest
 
@@ -109,8 +109,10 @@ def sample_ids(spark, d):
     sql("SELECT idx, question FROM doc_items WHERE idx NOT IN (SELECT doc_id FROM labels)", "doc_items"),
 )
 def resume_remaining(spark, d):
-    done = table(spark, d, "labels").select(F.col("doc_id").alias("idx"))
-    return sampling.remaining_items(inputs.document_items(spark, d), done).select("idx", "question")
+    """Items without a row in a stored state, which stays where its buckets are."""
+    done = buckets.with_seq(table(spark, d, "labels").select(F.col("doc_id").alias("idx")))
+    state = buckets.state_of(done, scratch_path(spark, "done-state"), ["idx"])
+    return state.remaining(inputs.document_items(spark, d)).select("idx", "question")
 
 
 @query(
@@ -133,8 +135,12 @@ def resume_prefix(spark, d):
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
 )
 def checkpoint_latest(spark, d):
-    latest = state.latest_per_key(inputs.answer_log(spark, d), ["idx"])
-    return latest.select("idx", "seq", "question", "generated_answer")
+    """The latest answers of a bucketed state, compacted after its first half and appended to."""
+    log = inputs.answer_log(spark, d)
+    kept = buckets.state_of(log.where("seq % 2 = 0"), scratch_path(spark, "answer-state"), ["idx"])
+    kept.compact()
+    kept.append(log.where("seq % 2 <> 0"))
+    return kept.latest().select("idx", "seq", "question", "generated_answer")
 
 
 @query(

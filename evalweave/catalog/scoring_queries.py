@@ -23,8 +23,8 @@ from evalweave.operators.attempts import resolve_attempts
 from evalweave.operators.inference import attach_answers
 from evalweave.plans.evaluation import judge_prompts
 from evalweave.schemas import SYSTEM_TYPES
-from evalweave.session import scratch_path, written
-from evalweave.sources import run_files, state
+from evalweave.session import scratch_path
+from evalweave.sources import run_files, run_source, state
 from evalweave.sources.tables import spread, table
 
 KEYS = ["run_id", "system_type", "idx"]
@@ -282,8 +282,8 @@ def run_scores(spark, d):
 def run_files_scan(spark, d):
     """Runs stored as nested documents, one file each, and scored from a scan of their folder."""
     folder = scratch_path(spark, "run-documents")
-    written(run_files.save_run_documents(inputs.scored(spark, d), inputs.runs(spark, d), folder), "run-document-names")
-    records = run_files.run_document_records(run_files.read_run_documents(spark, folder))
+    run_files.save_run_documents(inputs.scored(spark, d), inputs.runs(spark, d), folder)
+    records = run_source.read_run_records(spark, folder)
     means = records.groupBy("run_id", "model_name", "file_name", "system_type").agg(
         F.count(F.lit(1)).alias("n_answers"), F.round(F.avg("eval_score_LLM_judge_int") * 100, 6).alias("accuracy")
     )

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
 from datetime import datetime
 
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +16,7 @@ from evalweave.schemas import (
     SYSTEM_TYPES,
 )
 from evalweave.session import path_exists
+from evalweave.sources.run_source import write_run_documents
 
 RESULT_ROWS = "run_id STRING, idx BIGINT, " + SCORED_RECORD + ", system_type STRING"
 
@@ -82,31 +79,15 @@ def load_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_run_documents(scored: DataFrame, runs: DataFrame, folder: str) -> DataFrame:
-    """One nested document per run of ``runs`` (run_id, model_name, file_name) below ``folder``.
+    """Store one nested document per run of ``runs`` (run_id, model_name, file_name) below ``folder``.
 
-    The format gathers a run in one file, and so in one row and task. A file is written
-    under a name of its attempt and then moved, so a repeated task replaces it whole.
-    Returns the names written; reading them is what writes.
+    Writing happens here, once; the names of the documents are returned. A run without
+    answers gets no document.
     """
-    fields = [f.split()[0] for f in SCORED_RECORD.split(", ")]
-    record = F.struct("idx", *[F.col(f) if f in scored.columns else F.lit(None).cast("string").alias(f) for f in fields])
-    lists = [F.sort_array(F.collect_list(F.when(F.col("system_type") == s, record))).alias(s) for s in SYSTEM_TYPES]
-    listed = scored.groupBy("run_id").agg(*lists)
-    told = [F.transform(s, lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(s) for s in SYSTEM_TYPES]
-    documents = runs.join(listed, "run_id").select("file_name", F.to_json(F.struct("model_name", *told)).alias("document"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        for batch in batches:
-            for name, document in zip(*(column.to_pylist() for column in batch.columns)):
-                attempt = f"{base}/_{name}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(attempt) as sink:
-                    sink.write(document.encode())
-                fs.move(attempt, f"{base}/{name}")
-            yield batch.select(["file_name"])
-
-    return documents.mapInArrow(write, "file_name STRING")
+    named = scored.join(runs.select("run_id", "model_name", "file_name"), "run_id")
+    write_run_documents(named, folder)
+    answered = scored.where(F.col("system_type").isin(*SYSTEM_TYPES)).select("run_id").distinct()
+    return runs.join(answered, "run_id", "left_semi").select("file_name")
 
 
 def read_run_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +175,8 @@ def read_answer_map(spark: SparkSession, path: str, record: str) -> DataFrame:
         spark.read.schema(schema).option("multiLine", True).json(path)
         .select(F.explode("results").alias("idx", "r"))
     )
-    return entries.select(F.col("idx").cast("bigint"), "r.*")
+    # A key that is no number is no index.
+    return entries.select(F.col("idx").try_cast("bigint").alias("idx"), "r.*").where("idx IS NOT NULL")
 
 
 def read_sequential_state(spark: SparkSession, path: str, record: str) -> DataFrame:
