@@ -202,8 +202,10 @@ def dedup_exact(spark, d):
     ),
 )
 def corpus_counts(spark, d):
-    docs = inputs.spread_corpus(spark, d)
-    return dedup.corpus_counts(table(spark, d, "documents"), chunking.word_chunks(docs))
+    """What the job that builds the index counted on the way, read from beside the index."""
+    path = scratch_path(spark, "counted-index")
+    index_store.build_or_load_index(inputs.spread_corpus(spark, d), path, CONFIG, force=True)
+    return index_store.stored_counts(spark, path)
 
 
 def _cells(embedded):

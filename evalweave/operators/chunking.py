@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,6 +29,19 @@ def count_tokens(text: str) -> int:
     return sum(1 for _ in _TOKEN.finditer(text))
 
 
+class TokenOffsets:
+    """Where the tokens of one text begin: the length of any span is two searches, and the text is read once.
+
+    Exact for spans that cut no token; separators stand between tokens or are tokens of their own.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.starts = array("q", (match.start() for match in _TOKEN.finditer(text)))
+
+    def __call__(self, lo: int, hi: int) -> int:
+        return bisect_left(self.starts, hi) - bisect_left(self.starts, lo)
+
+
 def word_chunks(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
     """Windows of ``size`` words, each sharing ``overlap`` words with the one before.
 
@@ -86,25 +102,37 @@ def _pieces(text: str, lo: int, hi: int, separator: str) -> list[tuple[int, int]
 def recursive_spans(
     text: str, size: int, overlap: int, length: Callable[[str], int] = count_tokens
 ) -> list[tuple[int, int]]:
-    """Chunk spans of one text: coarse cuts first, finer ones only where a piece is too long."""
+    """Chunk spans of one text: coarse cuts first, finer ones only where a piece is too long.
+
+    Tokens are found once for all levels. Another ``length`` is asked for each piece,
+    as nothing is known about how it adds up.
+    """
     spans: list[tuple[int, int]] = []
+    between = TokenOffsets(text) if length is count_tokens else lambda lo, hi: length(text[lo:hi])
+
+    def measure(lo: int, hi: int, level: int) -> int:
+        # Single characters may be parts of a token: each counts as one of its own.
+        if length is count_tokens and level == len(SEPARATORS) - 1:
+            return 0 if text[lo].isspace() else 1
+        return between(lo, hi)
 
-    def emit(run: list[tuple[int, int, int]]) -> None:
+    def emit(run: deque[tuple[int, int, int]]) -> None:
         lo, hi = run[0][0], run[-1][1]
-        piece = text[lo:hi]
-        lo += len(piece) - len(piece.lstrip())
-        hi -= len(piece) - len(piece.rstrip())
+        while lo < hi and text[lo].isspace():
+            lo += 1
+        while lo < hi and text[hi - 1].isspace():
+            hi -= 1
         if lo < hi:
             spans.append((lo, hi))
 
     def pack(parts: list[tuple[int, int, int]]) -> None:
-        run: list[tuple[int, int, int]] = []
+        run: deque[tuple[int, int, int]] = deque()
         used = 0
         for part in parts:
             if run and used + part[2] > size:
                 emit(run)
                 while run and (used > overlap or used + part[2] > size):
-                    used -= run.pop(0)[2]
+                    used -= run.popleft()[2]
             run.append(part)
             used += part[2]
         if run:
@@ -115,7 +143,7 @@ def recursive_spans(
             level += 1
         fitting: list[tuple[int, int, int]] = []
         for a, b in _pieces(text, lo, hi, SEPARATORS[level]):
-            n = length(text[a:b])
+            n = measure(a, b, level)
             if n < size or level == len(SEPARATORS) - 1:
                 fitting.append((a, b, n))
                 continue

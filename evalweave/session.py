@@ -107,6 +107,13 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path)) if fs.exists(hadoop_path) else []
 
 
+def child_sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of the files in a folder by name."""
+    fs, hadoop_path = _file_system(spark, path)
+    found = fs.listStatus(hadoop_path) if fs.exists(hadoop_path) else []
+    return {status.getPath().getName(): int(status.getLen()) for status in found if status.isFile()}
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written beside and then moved into its place."""
     beside = f"{path}.{uuid.uuid4().hex}.tmp"

@@ -8,7 +8,9 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +19,7 @@ from evalweave.operators.dedup import unique_chunks
 from evalweave.operators.embedding import DIM, embed_batches, embed_hashed
 from evalweave.schemas import INDEX
 from evalweave.session import move_path, path_exists, remove_path, written
+from evalweave.sources.proof import holds, note, read_proof, write_proven
 from evalweave.sources.seen import SeenDirectory
 
 
@@ -69,21 +72,55 @@ def check_dimensions(index: DataFrame, config: IndexConfig) -> None:
         raise ValueError(f"the index holds vectors of {row['n']} dimensions, the embedder makes {config.dim}")
 
 
-def build_index(docs: DataFrame, config: IndexConfig) -> DataFrame:
-    """Chunk, drop duplicates, then embed what is left: one shuffle."""
-    return embed(unique_chunks(index_chunks(docs, config)), config).select(*_columns())
+def build_index(docs: DataFrame, config: IndexConfig, counters: IndexCounters | None = None) -> DataFrame:
+    """Chunk, drop duplicates, then embed what is left: one shuffle.
+
+    ``counters`` observe documents, chunks and what is left while the rows pass.
+    """
+    if counters is None:
+        return embed(unique_chunks(index_chunks(docs, config)), config).select(*_columns())
+    chunks = index_chunks(docs.observe(counters.documents, _passed()), config).observe(counters.chunks, _passed())
+    return embed(unique_chunks(chunks).observe(counters.indexed, _passed()), config).select(*_columns())
+
+
+def _passed():
+    return F.count(F.lit(1)).alias("n")
+
+
+class IndexCounters:
+    """Rows that pass each step of one build; read after its only job."""
+
+    def __init__(self) -> None:
+        self.documents, self.chunks, self.indexed = Observation(), Observation(), Observation()
+
+    def found(self) -> dict[str, int]:
+        documents, chunks, indexed = (seen.get["n"] for seen in (self.documents, self.chunks, self.indexed))
+        return {"documents": documents, "chunks": chunks, "removed": chunks - indexed, "indexed": indexed}
+
+
+def stored_counts(spark: SparkSession, path: str) -> DataFrame:
+    """metric, n of an index as counted by the jobs that wrote it; no rows where nothing was noted."""
+    noted = (read_proof(spark, path) or {}).get("noted", {})
+    return spark.createDataFrame(sorted(noted.items()), "metric STRING, n BIGINT")
 
 
 def _columns() -> list[str]:
     return StructType.fromDDL(INDEX).names
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """A completely written index, or None where there is none, it is empty or has other columns."""
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+def read_index(spark: SparkSession, path: str, by_rows: bool = False) -> DataFrame | None:
+    """A completely written index, or None where there is none, it is empty, damaged or has other columns.
+
+    Its parts have to be those that were written, by name and size; ``by_rows`` reads all
+    of them to compare their rows as well.
+    """
+    if not path_exists(spark, f"{path}/_SUCCESS") or not holds(spark, path, by_rows):
         return None
     # The one place that infers a schema: it has to tell an index of other columns.
-    found = spark.read.parquet(path)
+    try:
+        found = spark.read.parquet(path)
+    except (PySparkException, Py4JJavaError):  # no Parquet
+        return None
     wanted = StructType.fromDDL(INDEX)
     same = {f.name: f.dataType.simpleString() for f in found.schema} == {
         f.name: f.dataType.simpleString() for f in wanted
@@ -97,7 +134,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame | None:
 def build_or_load_index(
     docs: DataFrame, path: str, config: IndexConfig | None = None, force: bool = False
 ) -> DataFrame:
-    """The index at ``path``, built and saved first if missing, unusable or ``force``.
+    """The index at ``path``, built and saved first if missing, damaged, unusable or ``force``.
 
     It is built in a folder beside and then moved, so a failing build leaves an older
     index alone. An empty corpus is an error each time, and a stored index without rows
@@ -110,11 +147,13 @@ def build_or_load_index(
         if found is not None:
             return found
     staged = f"{path}.{uuid.uuid4().hex}"
-    build_index(docs, config).write.parquet(staged)
+    counters = IndexCounters()
+    proof = write_proven(build_index(docs, config, counters), staged)
     saved = spark.read.schema(INDEX).parquet(staged)
-    if saved.isEmpty():
+    if not proof["rows"]:
         remove_path(spark, staged)
         raise ValueError("No documents to embed")
+    note(spark, staged, **counters.found())
     try:
         move_path(spark, staged, path)
     except Exception as failure:  # only the move: a built index can be searched where it is
@@ -147,7 +186,7 @@ def append_to_index(docs: DataFrame, path: str, config: IndexConfig | None = Non
     version = max(seen.versions(), default=-1) + 1
     fresh = batch.join(seen.meet(batch.select("content_sha"), version), "content_sha", "left_semi")
     added = written(embed(fresh, config).select(*_columns()), "append-added")
-    added.write.mode("append").parquet(path)
+    write_proven(added, path, "append")
     seen.finish()
     return added
 

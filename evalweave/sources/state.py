@@ -6,10 +6,13 @@ import hashlib
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.session import path_exists, remove_path
+from evalweave.sources.proof import holds, write_proven
 
 _META = "n_rows BIGINT, saved_at TIMESTAMP, timing MAP<STRING, DOUBLE>"
 
@@ -34,15 +37,13 @@ def save_phase(
     which the stored ``elapsed_time`` counts.
     """
     spark = results.sparkSession
-    counted = Observation()
     remove_path(spark, _phase_path(root, "meta", key, phase))
-    rows = results.observe(counted, F.count(F.lit(1)).alias("n_rows"))
-    rows.write.mode("overwrite").parquet(_phase_path(root, "results", key, phase))
+    proof = write_proven(results, _phase_path(root, "results", key, phase))
     seconds = dict(timing or {})
     if started is not None:
         seconds["elapsed_time"] = time.monotonic() - started
     entry = spark.createDataFrame(
-        [(counted.get["n_rows"], seconds)], "n_rows BIGINT, timing MAP<STRING, DOUBLE>"
+        [(proof["rows"], seconds)], "n_rows BIGINT, timing MAP<STRING, DOUBLE>"
     ).withColumn("saved_at", F.current_timestamp())
     entry.coalesce(1).write.mode("overwrite").parquet(_phase_path(root, "meta", key, phase))
 
@@ -54,12 +55,19 @@ def _phase_path(root: str, kind: str, key: str, phase: str) -> str:
 def load_phase(
     spark: SparkSession, root: str, key: str, phase: str, schema: str
 ) -> tuple[DataFrame, dict[str, float]] | None:
-    """Stored rows and timing of a phase, or None if it has to be computed."""
+    """Stored rows and timing of a phase, or None if it has to be computed.
+
+    Rows that are not those that were stored, because a part was lost, cut or replaced,
+    have to be computed again: they are read and compared with the note of their writing.
+    """
     meta, results = (_phase_path(root, kind, key, phase) for kind in ("meta", "results"))
     if not path_exists(spark, f"{meta}/_SUCCESS") or not path_exists(spark, f"{results}/_SUCCESS"):
         return None
-    entry = spark.read.schema(_META).parquet(meta).first()
-    if entry is None:
+    try:
+        entry = spark.read.schema(_META).parquet(meta).first()
+    except (PySparkException, Py4JJavaError):  # a damaged entry
+        entry = None
+    if entry is None or not holds(spark, results):
         return None
     return spark.read.schema(schema).parquet(results), dict(entry["timing"] or {})
 

@@ -1,12 +1,14 @@
 """Chunking, duplicates and embeddings."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalweave.operators.chunking import count_tokens, recursive_chunks, recursive_spans, word_chunks
+from evalweave.operators import chunking
+from evalweave.operators.chunking import SEPARATORS, count_tokens, recursive_chunks, recursive_spans, word_chunks
 from evalweave.operators.dedup import unique_chunks
 from evalweave.operators.embedding import embed_batches, embed_hashed, hashing_embedder, l2_normalised
 from evalweave.sources.tables import table
@@ -116,3 +118,65 @@ def test_recursive_chunks_of_a_table(spark, sf_dir):
     for r in rows:
         assert texts[r.doc_id][r.start_index : r.start_index + len(r.content)] == r.content
         assert expected[r.doc_id][r.chunk_idx][0] == r.start_index
+
+
+def brute_chunks(text, size, overlap):
+    """The chunker stated anew, on strings: pieces are counted by scanning them."""
+    count = lambda piece: len(re.findall(r"\w+|[^\w\s]", piece))
+    out = []
+
+    def pieces(start, part, separators):
+        found = next(k for k, s in enumerate(separators) if s == "" or s in part)
+        mark, finer = separators[found], separators[found + 1 :]
+        cut = [part[k : k + 1] for k in range(len(part))] if not mark else [p for p in re.split(f"(?={re.escape(mark)})", part) if p]
+        if mark == "\n\n":  # overlapping matches cut once
+            cut, rest = [], part
+            while rest:
+                at = rest.find(mark, 2 if rest.startswith(mark) else 0)
+                cut.append(rest if at < 1 else rest[:at])
+                rest = rest[len(cut[-1]) :]
+        held, at = [], start
+        for p in cut:
+            if mark == "" or count(p) < size:
+                held.append((at, p))
+            else:
+                merge(held)
+                held = []
+                pieces(at, p, finer)
+            at += len(p)
+        merge(held)
+
+    def merge(parts):
+        begin = 0
+        for end in range(len(parts) + 1):
+            window = lambda: sum(count(p) for _, p in parts[begin:end])  # noqa: E731, B023
+            if end == len(parts) or (begin < end and window() + count(parts[end][1]) > size):
+                whole = "".join(p for _, p in parts[begin:end])
+                if whole.strip():
+                    lead = len(whole) - len(whole.lstrip())
+                    out.append((parts[begin][0] + lead, parts[begin][0] + lead + len(whole.strip())))
+                if end < len(parts):
+                    while begin < end and (window() > overlap or window() + count(parts[end][1]) > size):
+                        begin += 1
+
+    if text:
+        pieces(0, text, list(SEPARATORS))
+    return out
+
+
+def test_recursive_chunks_equal_an_independent_chunker():
+    rng = random.Random(17)
+    words = ["a", "bb", "ccc", "d.", "e,f", "é", "日本", "x" * 9, "1.5", "."]
+    for k in range(1000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", "\n\n", ". ", ""]) for _ in range(rng.randrange(60)))
+        size, overlap = rng.choice([(1, 0), (2, 1), (4, 0), (5, 3), (9, 4), (30, 7)])
+        assert recursive_spans(text, size, overlap) == brute_chunks(text, size, overlap), (k, text, size, overlap)
+
+
+def test_each_text_is_tokenised_once(monkeypatch):
+    calls = []
+    real = chunking.TokenOffsets.__init__
+    monkeypatch.setattr(chunking.TokenOffsets, "__init__", lambda self, text: calls.append(len(text)) or real(self, text))
+    monkeypatch.setattr(chunking, "_TOKEN", re.compile(r"\w+|[^\w\s]"))
+    text = ("word word. word\n" * 40 + "\n") * 20
+    assert len(recursive_spans(text, 10, 3)) > 100 and calls == [len(text)]
