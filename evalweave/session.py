@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +69,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Characters kept of the text of a plan that writes a table in between.
+PLAN_CHARS = 2_000
+
+
+@contextmanager
+def short_plan_texts(spark: SparkSession, chars: int = PLAN_CHARS) -> Iterator[None]:
+    """Bound the plan texts that jobs started here leave in the driver.
+
+    The driver keeps the text of each recent query, and of each stage an adaptive plan is
+    changed after; an operator of many steps would fill its memory with them.
+    """
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(chars))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to a fresh Parquet table in the shared folder and read back.
 
@@ -74,7 +96,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     and has a known size: the planner broadcasts it in a join only if that is small.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with short_plan_texts(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
