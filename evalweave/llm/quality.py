@@ -124,9 +124,11 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rated: int = MOST
     rated = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
     # Rows of one doc_id are combined before the shuffle; the smallest bytes stand for it.
     single = rated.mapInArrow(features, "doc_id BIGINT, grade INT, hashes BINARY").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("hashes").alias("hashes"))
-    rows = single.select("grade", "hashes").collect()  # most_rated rows
-    rows.sort(key=lambda row: (row.grade, bytes(row.hashes)))
-    model = _fit([np.frombuffer(row.hashes, dtype="<i8") for row in rows], np.array([row.grade for row in rows], dtype=np.int64), grades)
+    # most_rated rows, as Arrow columns: rows of Python objects would take several times their bytes.
+    table = single.select("grade", "hashes").toArrow()
+    rows = sorted(zip(table["grade"].to_pylist(), table["hashes"].to_pylist()))
+    del table
+    model = _fit([np.frombuffer(hashes, dtype="<i8") for _, hashes in rows], np.array([mark for mark, _ in rows], dtype=np.int64), grades)
     return replace(model, rated=len(rows))
 
 
