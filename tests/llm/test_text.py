@@ -311,3 +311,55 @@ def test_pipeline(spark, sf_dir):
     pieces = kept[-1].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {row.doc_id for row in pieces} == set(texts[4])
     assert kept[-1].groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_line_columns_of_any_name(spark):
+    """Columns with the names the line operator uses itself come out as they went in."""
+    passage = "one line of a passage\nand another one of it"
+    rows = [(1, f"{passage}\nfirst", 5, "a"), (2, f"other\n{passage}", 6, "b"), (None, None, 7, "c")]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, _key INT, _taken STRING")
+    found = lines.remove_repeats(frame)
+    assert found.columns == ["doc_id", "text", "_key", "_taken", "removed_lines"]
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([(1, rows[0][1], 5, "a", 0), (2, "other", 6, "b", 2), (None, None, 7, "c", 0)], key=repr)
+
+
+def lines_brute(rows, long_words=50):
+    """The whole rule on lists: chunks of two neighbouring lines or one long one, all but the first place of each taken."""
+    import hashlib
+
+    chunks, texts = [], {}
+    for key, text in rows:
+        if text is None:
+            continue
+        digest = hashlib.md5(f"{'null' if key is None else key}:{text}".encode()).digest()
+        texts[key, text] = text.split("\n")
+        full = [(at, line) for at, line in enumerate(texts[key, text]) if line.strip(" ")]
+        for (at, line), after in zip(full, [*full[1:], None]):
+            if after:
+                chunks.append(((key is not None, key or 0, digest, at, after[0]), (line, after[1]), (key, text)))
+            if line.count(" ") + 1 >= long_words:
+                chunks.append(((key is not None, key or 0, digest, at, at), (line,), (key, text)))
+    chunks = list({(place, content): (place, content, owner) for place, content, owner in chunks}.values())
+    first = {}
+    for place, content, _ in chunks:
+        first[content] = min(first.get(content, place), place)
+    taken = {}
+    for place, content, owner in chunks:
+        start = first[content]
+        if place != start and (place[2] != start[2] or place[3] > start[4]):
+            taken.setdefault(owner, set()).update(range(place[3], place[4] + 1) if place[3] == place[4] else (place[3], place[4]))
+    out = []
+    for key, text in rows:
+        gone = taken.get((key, text), set())
+        kept = text if text is None or not gone else "\n".join(line for at, line in enumerate(texts[key, text]) if at not in gone)
+        out.append((key, kept, len(gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_equal_the_rule_on_random_texts(spark, seed):
+    rng = random.Random(seed)
+    pool = ["a", "b b", "c c c", "", " ", "word " * 60 + "end", "d"]
+    rows = [(rng.choice([k, k, 3, None]), rng.choice([None, ""]) if rng.random() < 0.1 else "\n".join(rng.choice([*pool, f"own {k} {j}"]) for j in range(rng.randrange(1, 9)))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
+    assert sorted(((r.doc_id, r.text, r.removed_lines) for r in lines.remove_repeats(frame).collect()), key=repr) == lines_brute(rows)
