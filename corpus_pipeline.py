@@ -27,6 +27,12 @@ PERCENT = 75
 CAPACITY, END_ID = 2048, 0
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names renamed, and how to rename them back: a stage uses them itself."""
+    moved = {name: f"{name}_{n}_given" for n, name in enumerate(docs.columns) if name in names}
+    return docs.withColumnsRenamed(moved), {held: name for name, held in moved.items()}
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being good reaches ``GOOD_FROM``; toxic ones and junk go. All stay if none is rated."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -34,7 +40,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     model = quality.fit(docs.select("doc_id", "text"), ratings, grades=3)
     if not model.rated:
         return docs
-    return quality.rate(docs, model, select_grade=2, at_least=GOOD_FROM).where("selected").select(docs.columns)
+    own, back = _aside(docs, "expected_grade", "tail_probability", "selected")
+    return quality.rate(own, model, select_grade=2, at_least=GOOD_FROM).where("selected").select(own.columns).withColumnsRenamed(back)
 
 
 def _octave() -> Column:
@@ -60,28 +67,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a known language, which becomes their lang; those without letters or like no language go."""
     profiles = langid.learn(docs.select("text", "lang"))
     least = spark.createDataFrame(least_scores(docs, profiles), "lang_pred STRING, _octave INT, _least DOUBLE")
-    judged = langid.identify(docs, profiles).where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("_octave", _octave())
+    own, back = _aside(docs, "lang_pred", "score", "_octave", "_least")
+    judged = langid.identify(own, profiles).where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("_octave", _octave())
     known = judged.join(F.broadcast(least), ["lang_pred", "_octave"]).where(F.col("score") >= F.col("_least"))
-    return known.select(*(F.col("lang_pred").alias("lang") if name == "lang" else F.col(name) for name in docs.columns))
+    return known.select(*(F.col("lang_pred").alias("lang") if name == "lang" else F.col(name) for name in own.columns)).withColumnsRenamed(back)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that came before; those of nothing else go."""
-    cleaned = lines.remove_repeats(docs).where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
+    own, back = _aside(docs, "removed_lines")
+    cleaned = lines.remove_repeats(own).where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return cleaned.select(*(F.when(F.col("removed_lines") > 0, size).otherwise(F.col(name)).alias(name) if name == "n_chars" else F.col(name) for name in docs.columns))
+    return cleaned.select(*(F.when(F.col("removed_lines") > 0, size).otherwise(F.col(name)).alias(name) if name == "n_chars" else F.col(name) for name in own.columns)).withColumnsRenamed(back)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Texts without words stay."""
-    stored = docs.withColumn("_at", F.monotonically_increasing_id())
-    stored = written(stored, "pipeline-documents")
+    own, back = _aside(docs, "_at", "_group")
+    stored = written(own.withColumn("_at", F.monotonically_increasing_id()), "pipeline-documents")
     linked = jaccard.link_documents(stored.select(F.col("_at").alias("doc_id"), "text"), PERCENT)
     named = linked.where("n_shingles > 0").select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_group")).join(stored.select("_at", "doc_id"), "_at")
     # The smallest doc_id first, a null one last.
     first = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("first")).select(F.col("first._at").alias("_at"))
     worded = linked.where("n_shingles = 0").select(F.col("doc_id").alias("_at"))
-    return stored.join(first.unionByName(worded), "_at", "left_semi").select(docs.columns)
+    return stored.join(first.unionByName(worded), "_at", "left_semi").select(own.columns).withColumnsRenamed(back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
