@@ -17,13 +17,13 @@ from evalweave.functions.text import (
     source_segment,
     truncate_content,
 )
-from evalweave.operators import chunking, dedup, embedding, sampling
+from evalweave.operators import chunking, dedup, embedding, pivots, sampling
 from evalweave.operators.inference import attach_answers, extractive_model, run_batch
 from evalweave.operators.scoring import scoreboard
 from evalweave.operators.similarity import top_k
 from evalweave.plans import evaluation, retrieval
 from evalweave.plans.retrieval import GOOD_HITS, GOOD_SCORE
-from evalweave.session import scratch_path, shared_path
+from evalweave.session import path_exists, scratch_path, shared_path
 from evalweave.sources import buckets, index_store, state
 from evalweave.sources.tables import SCHEMAS, table, table_version
 from evalweave.streaming import ingest
@@ -38,6 +38,14 @@ def _index(spark, d):
     return index_store.build_or_load_index(docs, path, CONFIG)
 
 
+def _pivot_index(spark, d):
+    """The index with its slabs and bounds, stored beside it when first asked for."""
+    path = shared_path(spark, "pivots", CONFIG.key(table_version(spark, d, "documents")))
+    if not path_exists(spark, f"{path}/bounds.json"):
+        pivots.build_pivot_index(_index(spark, d), retrieval.CHUNK_KEYS, path)
+    return pivots.PivotIndex(spark, path)
+
+
 def _long(column):
     return F.col(column).cast("bigint").alias(column)
 
@@ -290,11 +298,9 @@ def retrieve_topk(spark, d):
     sql("SELECT query_id, doc_id, chunk_idx, rn, round(score, 9) AS score FROM ranked WHERE rn <= 10", "ranked"),
 )
 def retrieve_topk_blocked(spark, d):
-    """All questions against all chunks in blocks and slabs, as for too many questions to broadcast."""
+    """All questions against all chunks, slab by slab, as for too many questions to broadcast; slabs out of reach are skipped."""
     texts = inputs.eval_items(spark, d).select(F.col("idx").alias("query_id"), F.col("question").alias("content"))
-    hits = top_k(
-        embedding.embed_hashed(texts), _index(spark, d), retrieval.CHUNK_KEYS, 10, broadcast_rows=16, slab_rows=1000
-    )
+    hits = _pivot_index(spark, d).top_k(embedding.embed_hashed(texts), 10)
     return _hit_columns(hits, "doc_id", "chunk_idx")
 
 

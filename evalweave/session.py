@@ -137,6 +137,12 @@ def child_sizes(spark: SparkSession, path: str) -> dict[str, int]:
     return {status.getPath().getName(): int(status.getLen()) for status in found if status.isFile()}
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder, from its listing alone."""
+    fs, hadoop_path = _file_system(spark, path)
+    return int(fs.getContentSummary(hadoop_path).getLength()) if fs.exists(hadoop_path) else 0
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written beside and then moved into its place."""
     beside = f"{path}.{uuid.uuid4().hex}.tmp"

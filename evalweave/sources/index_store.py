@@ -18,7 +18,8 @@ from evalweave.operators.chunking import recursive_chunks, word_chunks
 from evalweave.operators.dedup import unique_chunks
 from evalweave.operators.embedding import DIM, embed_batches, embed_hashed
 from evalweave.schemas import INDEX
-from evalweave.session import move_path, path_exists, remove_path, written
+from evalweave.session import move_path, path_exists, remove_path, stored_bytes, written
+from evalweave.sources import seen as seen_contents
 from evalweave.sources.proof import holds, note, read_proof, write_proven
 from evalweave.sources.seen import SeenDirectory
 
@@ -167,27 +168,40 @@ def seen_directory(spark: SparkSession, path: str) -> SeenDirectory:
     return SeenDirectory(spark, f"{path}/_seen")
 
 
+def unseen_chunks(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of ``batch`` whose content a small index lacks: all of its hashes are read."""
+    return batch.join(index.select("content_sha"), "content_sha", "left_anti")
+
+
 def append_to_index(docs: DataFrame, path: str, config: IndexConfig | None = None) -> DataFrame:
     """Add a batch of documents to the index at ``path``; returns the added rows.
 
-    The batch meets the index's directory of contents, not the index: only buckets that
-    may hold its contents are read. The directory is made from the index where it is
-    missing, and made anew after an append that was cut off between rows and hashes.
+    From ``DIRECTORY_FROM`` bytes on the batch meets the index's directory of contents, not
+    the index: only buckets that may hold its contents are read. The directory is made
+    from the index where it is missing, and made anew after an append that was cut off
+    between rows and hashes, or that went without it.
     """
     spark = docs.sparkSession
     config = config or IndexConfig()
-    batch = written(unique_chunks(index_chunks(docs, config)), "append-batch")
-    index, seen = read_index(spark, path), seen_directory(spark, path)
-    if index is None:
-        remove_path(spark, seen.path)
-    elif not seen.sound():
-        seen.rebuild(index)
-    seen.begin()
-    version = max(seen.versions(), default=-1) + 1
-    fresh = batch.join(seen.meet(batch.select("content_sha"), version), "content_sha", "left_semi")
+    index = read_index(spark, path)
+    seen = seen_directory(spark, path) if stored_bytes(spark, path) >= seen_contents.DIRECTORY_FROM else None
+    batch = unique_chunks(index_chunks(docs, config))
+    if seen is None:
+        remove_path(spark, seen_directory(spark, path).path)
+        fresh = batch if index is None else unseen_chunks(index, batch)
+    else:
+        if index is None:
+            remove_path(spark, seen.path)
+        elif not seen.sound():
+            seen.rebuild(index)
+        seen.begin()
+        batch = written(batch, "append-batch")
+        known = seen.known(batch.select("content_sha"), max(seen.versions(), default=-1) + 1)
+        fresh = batch if known is None else batch.join(known, "content_sha", "left_anti")
     added = written(embed(fresh, config).select(*_columns()), "append-added")
     write_proven(added, path, "append")
-    seen.finish()
+    if seen is not None:
+        seen.finish()
     return added
 
 

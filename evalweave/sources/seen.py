@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.session import child_names, path_exists, remove_path, write_text
@@ -24,6 +24,8 @@ from evalweave.session import child_names, path_exists, remove_path, write_text
 SEEN = "content_sha STRING, maybe BOOLEAN, bits BINARY, held BIGINT, bucket INT"
 _COLUMNS = ("content_sha", "maybe", "bits", "held", "bucket")
 BUCKETS = 16
+#: Bytes of an index from which on its hashes are kept in a directory: below it they are read whole, in one job.
+DIRECTORY_FROM = 1 << 30
 #: Bits of the first filter of a bucket, bits by hash at which a filter is full, and places set by hash.
 FIRST_BITS, BITS_EACH, PLACES = 1 << 17, 10, 7
 
@@ -119,32 +121,43 @@ class SeenDirectory:
             return self.spark.createDataFrame([], SEEN)
         return self.spark.read.schema(SEEN).option("basePath", self.path).parquet(*(f"{self.path}/version={version}" for version in versions)).select(*_COLUMNS)
 
-    def meet(self, hashes: DataFrame, version: int) -> DataFrame:
-        """The hashes (content_sha, distinct) that no earlier version has; all of them are in ``version`` from now on.
+    def known(self, hashes: DataFrame, version: int) -> DataFrame | None:
+        """The hashes (content_sha, distinct) that an earlier version has, or None if no bucket had to be opened.
 
-        A version that is there already is replaced, so a repeated batch gets the same answer.
+        All of them are in ``version`` from now on. A version that is there already is
+        replaced, so a repeated batch gets the same answer.
         """
         earlier = [v for v in self.versions() if v < version]
         placed = hashes.select("content_sha", sha_bucket(F.col("content_sha"), self.buckets).alias("bucket"))
         filters = self._read(earlier[-1:]).where("bits IS NOT NULL").select("bucket", "bits", "held")
         met = placed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_meet(self.first_bits), SEEN)
-        target = f"{self.path}/version={version}"
-        met.write.mode("overwrite").partitionBy("bucket").parquet(target)
-        own = self._read([version]).where("content_sha IS NOT NULL")
-        counts = own.groupBy("bucket").agg(F.max("maybe").alias("maybe")).collect()  # a row by bucket
-        opened = sorted(row["bucket"] for row in counts if row["maybe"])
-        self.last = Membership(self.buckets, len(counts), len(opened))
+        passed = Observation()
+        own = F.col("content_sha").isNotNull()
+        counted = met.observe(
+            passed,
+            F.collect_set(F.when(own, F.col("bucket"))).alias("touched"),
+            F.collect_set(F.when(own & F.col("maybe"), F.col("bucket"))).alias("opened"),
+        )
+        counted.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        opened = sorted(passed.get["opened"])
+        self.last = Membership(self.buckets, len(passed.get["touched"]), len(opened))
         if not opened:
-            return own.select("content_sha")
+            return None
         # The buckets are folders: no other is read.
+        maybe = self._read([version]).where("maybe").select("content_sha")
         stored = self._read(earlier).where(F.col("bucket").isin(opened) & F.col("content_sha").isNotNull())
-        known = stored.join(own.where("maybe").select("content_sha"), "content_sha", "left_semi").select("content_sha").distinct()
-        return own.join(known, "content_sha", "left_anti").select("content_sha")
+        return stored.join(maybe, "content_sha", "left_semi").select("content_sha").distinct()
+
+    def meet(self, hashes: DataFrame, version: int) -> DataFrame:
+        """The hashes that no earlier version has; see ``known``."""
+        known = self.known(hashes, version)
+        fresh = hashes.select("content_sha")
+        return fresh if known is None else fresh.join(known, "content_sha", "left_anti")
 
-    def rebuild(self, hashes: DataFrame) -> None:
-        """Start again from all hashes of an index, as after a batch that was cut off."""
+    def rebuild(self, hashes: DataFrame, version: int = 0) -> None:
+        """Start again from all hashes of an index, as after a batch that was cut off or went without the directory."""
         remove_path(self.spark, self.path)
-        self.meet(hashes.select("content_sha").distinct(), 0)
+        self.known(hashes.select("content_sha").distinct(), version)
 
     # A marker stands while rows and their hashes are being stored.
 

@@ -11,8 +11,9 @@ from pyspark.sql.types import StructType
 
 from evalweave.operators.dedup import unique_chunks
 from evalweave.schemas import LANDED_ANSWER, STREAM_INDEX
-from evalweave.session import is_folder, written
-from evalweave.sources.index_store import IndexConfig, embed, index_chunks, seen_directory
+from evalweave.session import is_folder, stored_bytes, written
+from evalweave.sources import seen as seen_contents
+from evalweave.sources.index_store import IndexConfig, embed, index_chunks, seen_directory, unseen_chunks
 from evalweave.sources.keyed import KeyedTable
 from evalweave.sources.tables import SCHEMAS, spread
 
@@ -40,14 +41,26 @@ def _land(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def ingest_documents(batch: DataFrame, batch_id: int, path: str, config: IndexConfig) -> None:
-    """Chunk a micro-batch, keep contents no earlier batch has, embed and land them.
+    """Chunk a micro-batch, keep contents no other batch has, embed and land them.
 
-    What is known comes from the directory of contents, whose version is the batch: a
+    A small index is asked itself, in the one job that lands the batch. From
+    ``DIRECTORY_FROM`` bytes on its directory of contents is, whose version is the batch: a
     replayed batch meets the same earlier ones and replaces its rows and hashes.
     """
-    unique = written(unique_chunks(index_chunks(spread(batch), config)), "stream-batch")
-    seen = seen_directory(batch.sparkSession, path)
-    fresh = unique.join(seen.meet(unique.select("content_sha"), batch_id), "content_sha", "left_semi")
+    spark = batch.sparkSession
+    unique = unique_chunks(index_chunks(spread(batch), config))
+    size = stored_bytes(spark, path)
+    landed = spark.read.schema(STREAM_INDEX).parquet(path).where(F.col("batch_id") != batch_id) if size else None
+    if size >= seen_contents.DIRECTORY_FROM and landed is not None:
+        unique = written(unique, "stream-batch")
+        seen = seen_directory(spark, path)
+        if batch_id - 1 not in seen.versions():
+            # Batches before this one went without it.
+            seen.rebuild(landed, batch_id - 1)
+        known = seen.known(unique.select("content_sha"), batch_id)
+        fresh = unique if known is None else unique.join(known, "content_sha", "left_anti")
+    else:
+        fresh = unique if landed is None else unseen_chunks(landed, unique)
     columns = [c for c in StructType.fromDDL(STREAM_INDEX).names if c != "batch_id"]
     _land(embed(fresh, config).select(*columns), path, batch_id)
 

@@ -76,7 +76,9 @@ def index_shas(spark, path):
     return sorted(r.content_sha for r in index_store.read_index(spark, path).select("content_sha").collect())
 
 
-def test_appends_meet_the_directory(spark, tmp_path):
+@pytest.mark.parametrize("bound", [0, 1 << 30])
+def test_appends_meet_the_directory(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(seen, "DIRECTORY_FROM", bound)
     path = str(tmp_path / "index")
     index_store.build_or_load_index(corpus(spark, 0, 20), path, CONFIG)
     # Built without a directory: it is made from the index.
@@ -88,6 +90,7 @@ def test_appends_meet_the_directory(spark, tmp_path):
 
 def test_append_that_was_cut_off(spark, tmp_path, monkeypatch):
     """Hashes were stored, rows were not: the next append goes by the index."""
+    monkeypatch.setattr(seen, "DIRECTORY_FROM", 0)
     path = str(tmp_path / "index")
     index_store.append_to_index(corpus(spark, 0, 10), path, CONFIG)
     with monkeypatch.context() as broken:
@@ -98,6 +101,25 @@ def test_append_that_was_cut_off(spark, tmp_path, monkeypatch):
     assert index_shas(spark, path) == sorted(r.content_sha for r in index_store.build_index(corpus(spark, 0, 20), CONFIG).select("content_sha").collect())
 
 
+def test_index_that_grows_into_its_directory(spark, tmp_path, monkeypatch):
+    """Batches before the bound go without the directory; the first one beyond it makes it of what landed, and replays agree."""
+    path = str(tmp_path / "landed")
+
+    def ingest_part(k, a, b):
+        ingest.ingest_documents(corpus(spark, a, b), k, path, CONFIG)
+
+    ingest_part(0, 0, 10)
+    ingest_part(1, 5, 20)
+    monkeypatch.setattr(seen, "DIRECTORY_FROM", 1)
+    ingest_part(2, 0, 30)
+    ingest_part(3, 25, 40)
+    ingest_part(3, 25, 40)
+    directory = index_store.seen_directory(spark, path)
+    assert directory.versions() == [1, 2, 3]
+    landed = sorted(r.content_sha for r in spark.read.schema(ingest.STREAM_INDEX).parquet(path).select("content_sha").collect())
+    assert landed == sorted(r.content_sha for r in index_store.build_index(corpus(spark, 0, 40), CONFIG).select("content_sha").collect())
+
+
 def rows_of(spark, rows):
     return spark.createDataFrame([(i, s, "q", "t", "d", a) for i, s, a in rows], LANDED_ANSWER)
 
