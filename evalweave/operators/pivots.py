@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalweave.operators.similarity import SCORE_UNIT, _matrix, _merge_block, _norms, _rows, _winner_schema
@@ -27,8 +27,8 @@ from evalweave.session import read_text, write_text, written
 
 PIVOTS, REFERENCES = 64, 16
 CELL_ROWS = 200_000
-#: Scores are rounded to whole units and distances are doubles: a bound counts as reached this many units below it.
-_SLACK_UNITS = 4
+#: Scores are rounded to whole units, and near 0 a distance from doubles is off by 2e-8: a bound is raised by this many units.
+_SLACK_UNITS = 64
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,15 @@ class SlabBounds:
         most[norms == 0] = _SLACK_UNITS  # scores of a query without direction are 0
         return most.astype(np.int64)
 
+    def nearest(self, most: np.ndarray, k: int) -> np.ndarray:
+        """For each query the slabs of the greatest bounds that hold ``k`` rows."""
+        rows = self.rows
+        order = np.argsort(np.where(rows > 0, -most, np.iinfo(np.int64).max), axis=1, kind="stable")
+        before = np.cumsum(rows[order], axis=1) - rows[order]
+        chosen = np.zeros(most.shape, dtype=bool)
+        np.put_along_axis(chosen, order, before < k, axis=1)
+        return chosen
+
 
 def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances between unit vectors of rows and pivots."""
@@ -151,30 +160,30 @@ class PivotIndex:
         return queries.select("query_id", "embedding", "floor").mapInArrow(pair, "query_id BIGINT, embedding ARRAY<FLOAT>, slab INT")
 
     def first_cells(self, queries: DataFrame, k: int) -> DataFrame:
-        """Each query with the slabs of the greatest bounds that hold ``k`` rows."""
-        rows = self.bounds.rows
-
-        def nearest(most: np.ndarray, _: np.ndarray) -> np.ndarray:
-            order = np.argsort(np.where(rows > 0, -most, np.iinfo(np.int64).max), axis=1, kind="stable")
-            before = np.cumsum(rows[order], axis=1) - rows[order]
-            chosen = np.zeros(most.shape, dtype=bool)
-            np.put_along_axis(chosen, order, before < k, axis=1)
-            return chosen
+        """Each query with the slabs it searches first."""
+        bounds = self.bounds
+        return self._cells(queries.withColumn("floor", F.lit(0).cast("bigint")), lambda most, _: bounds.nearest(most, k))
 
-        return self._cells(queries.withColumn("floor", F.lit(0).cast("bigint")), nearest)
+    def further_cells(self, queries: DataFrame, k: int = 0) -> DataFrame:
+        """Each query (with the k-th units found so far as ``floor``) with all slabs that may hold as good a row.
 
-    def further_cells(self, queries: DataFrame) -> DataFrame:
-        """Each query (with the k-th units found so far as ``floor``) with all slabs that may hold as good a row."""
-        return self._cells(queries, lambda most, floor: most >= floor[:, None])
+        With ``k`` those it has searched first are left out.
+        """
+        bounds = self.bounds
+        return self._cells(queries, lambda most, floor: (most >= floor[:, None]) & ~bounds.nearest(most, k))
 
     def _search(self, cells: DataFrame, k: int) -> DataFrame:
-        counts, keys = self.bounds.cells(self.cell_rows), self.keys
+        counts, keys, schema = self.bounds.cells(self.cell_rows), self.keys, _winner_schema(self.keys)
         names = ["query_id", "units", *self.keys]
+        met = Observation()
+        cells = written(cells.observe(met, F.collect_set("slab").alias("slabs")), "pivot-cells")
+        wanted = sorted(met.get["slabs"])  # at most one number by slab
+        if not wanted:
+            return cells.sparkSession.createDataFrame([], schema)
         by_slab = F.element_at(F.array(*[F.lit(int(n)) for n in counts]), F.col("slab") + 1)
         left = cells.withColumn("cell", F.explode(F.sequence(F.lit(0), by_slab - 1)))
         right = self.vectors.withColumn("cell", F.pmod(F.xxhash64(*self.keys), by_slab).cast("int"))
-        # Slabs no query needs stay where they are: at most one number by slab is read here.
-        wanted = [row["slab"] for row in cells.select("slab").distinct().collect()]
+        # Slabs no query needs stay where they are.
         right = right.where(F.col("slab").isin(wanted)) if len(wanted) < len(counts) else right
 
         def cell(query_part: pa.Table, vector_part: pa.Table) -> pa.Table:
@@ -183,7 +192,7 @@ class PivotIndex:
             best = _merge_block(None, _matrix(vector_part.column("embedding")), [vector_part.column(c).to_numpy() for c in keys], _matrix(query_part.column("embedding")), k)
             return pa.Table.from_batches([_rows(best, query_part.column("query_id").to_numpy(), names)])
 
-        return left.groupBy("slab", "cell").cogroup(right.groupBy("slab", "cell")).applyInArrow(cell, _winner_schema(self.keys))
+        return left.groupBy("slab", "cell").cogroup(right.groupBy("slab", "cell")).applyInArrow(cell, schema)
 
     def _ranked(self, winners: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.col("units").desc(), *[F.col(c) for c in self.keys])
@@ -196,12 +205,10 @@ class PivotIndex:
         or NaN component, is an error; a query without direction scores 0 with all vectors.
         """
         named = written(queries.select(F.col("query_id").cast("bigint"), "embedding"), "pivot-queries")
-        first = written(self.first_cells(named, k), "pivot-cells")
-        found = written(self._ranked(self._search(first, k), k), "pivot-first")
+        found = written(self._ranked(self._search(self.first_cells(named, k), k), k), "pivot-first")
         floors = found.where(F.col("rn") == k).select("query_id", F.col("units").alias("floor"))
         least = F.lit(-(1 << 62)).cast("bigint")  # fewer than k rows so far: anything counts
         open_queries = named.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", least))
-        rest = self.further_cells(open_queries).join(first.select("query_id", "slab"), ["query_id", "slab"], "left_anti")
-        more = self._search(written(rest, "pivot-cells"), k)
+        more = self._search(self.further_cells(open_queries, k), k)
         both = found.select(*more.columns).unionByName(more)
         return self._ranked(both, k).select("query_id", *self.keys, (F.col("units") / SCORE_UNIT).alias("score"), "rn")
