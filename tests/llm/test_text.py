@@ -363,3 +363,24 @@ def test_lines_equal_the_rule_on_random_texts(spark, seed):
     rows = [(rng.choice([k, k, 3, None]), rng.choice([None, ""]) if rng.random() < 0.1 else "\n".join(rng.choice([*pool, f"own {k} {j}"]) for j in range(rng.randrange(1, 9)))) for k in range(60)]
     frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
     assert sorted(((r.doc_id, r.text, r.removed_lines) for r in lines.remove_repeats(frame).collect()), key=repr) == lines_brute(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Every name that a stage uses itself comes out of it with the values it came in with."""
+    rng = random.Random(9)
+    words = {"en": ["the", "river", "house", "under", "green"], "de": ["der", "fluss", "haus", "unter", "gruen"]}
+    names = ["expected_grade", "tail_probability", "selected", "lang_pred", "score", "_octave", "_least", "removed_lines", "_at", "_group", "_key", "_taken"]
+    rows = []
+    for k in range(80):
+        lang = "de" if k % 2 else "en"
+        text = "\n".join(" ".join(rng.choices(words[lang], k=12)) + f" {k}" for _ in range(3)) + (" junk" * 5 if k % 5 == 0 else "")
+        rows.append((k, text, lang, "s", len(text), *(f"{name} of {k}" for name in names)))
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, " + ", ".join(f"{name} STRING" for name in names)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([(k, int(k % 5 > 0), 0) for k in range(80)], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        found = kept.collect()
+        assert len(found) > 40, name
+        assert all(row[column] == f"{column} of {row.doc_id}" for row in found for column in names), name
