@@ -53,12 +53,13 @@ def _phase_path(root: str, kind: str, key: str, phase: str) -> str:
 
 
 def load_phase(
-    spark: SparkSession, root: str, key: str, phase: str, schema: str
+    spark: SparkSession, root: str, key: str, phase: str, schema: str, proven: bool = True
 ) -> tuple[DataFrame, dict[str, float]] | None:
     """Stored rows and timing of a phase, or None if it has to be computed.
 
     Rows that are not those that were stored, because a part was lost, cut or replaced,
-    have to be computed again: they are read and compared with the note of their writing.
+    have to be computed again: they are read and compared with the note of their writing,
+    unless ``proven`` is not asked for, as right after it.
     """
     meta, results = (_phase_path(root, kind, key, phase) for kind in ("meta", "results"))
     if not path_exists(spark, f"{meta}/_SUCCESS") or not path_exists(spark, f"{results}/_SUCCESS"):
@@ -67,7 +68,7 @@ def load_phase(
         entry = spark.read.schema(_META).parquet(meta).first()
     except (PySparkException, Py4JJavaError):  # a damaged entry
         entry = None
-    if entry is None or not holds(spark, results):
+    if entry is None or (proven and not holds(spark, results)):
         return None
     return spark.read.schema(schema).parquet(results), dict(entry["timing"] or {})
 
@@ -90,7 +91,7 @@ def run_phase(
         return (*stored, True)
     started = time.monotonic()
     save_phase(build(), root, key, phase, started=started)
-    return (*load_phase(spark, root, key, phase, schema), False)
+    return (*load_phase(spark, root, key, phase, schema, proven=False), False)
 
 
 def phase_counts(results: DataFrame) -> DataFrame:
