@@ -365,6 +365,53 @@ def test_lines_equal_the_rule_on_random_texts(spark, seed):
     assert sorted(((r.doc_id, r.text, r.removed_lines) for r in lines.remove_repeats(frame).collect()), key=repr) == lines_brute(rows)
 
 
+def repeated_texts(seed=12):
+    """Documents that share passages of 2 to 30 lines, some thousands of words long, at changing places."""
+    rng = random.Random(seed)
+    passages = [[f"passage {k} line {j}" for j in range(n)] for k, n in enumerate((2, 3, 5, 8, 13, 30))]
+    rows = []
+    for k in range(120):
+        own = [f"own {k} {j}" for j in range(rng.randrange(9))]
+        for lines_of in rng.sample(passages, 2):
+            at = rng.randint(0, len(own))
+            own[at:at] = lines_of
+        rows.append((k, "\n".join(own)))
+    return rows
+
+
+def test_lines_are_cut_alike_after_a_shift(docs_of):
+    whole = [f"line {j} of a long text" for j in range(200)]
+    rows = [(k, "\n".join([f"new {k} {j}" for j in range(k)] + whole[: 50 * k] + [f"put in {k}"] * (k > 0) + whole[50 * k :])) for k in range(4)]
+    found = collections.defaultdict(set)
+    for row in lines.line_chunks(docs_of(rows)).where("whole").collect():
+        found[row.doc_id].add(row.chunk_hash)
+    assert 200 / 8 < len(found[0]) < 200 / 2
+    # Lost are the chunk at the front and the one or two that hold the line put in.
+    assert all(len(found[0] - found[k]) <= 4 for k in (1, 2, 3))
+
+
+@pytest.mark.parametrize("cut_every", [1, 3, 1_000])
+def test_lines_do_not_depend_on_the_cuts(docs_of, cut_every):
+    rows = repeated_texts()
+    found = lines.remove_repeats(docs_of(rows), cut_every=cut_every).collect()
+    assert sorted(((r.doc_id, r.text, r.removed_lines) for r in found), key=repr) == lines_brute(rows)
+
+
+def test_chunks_settle_most_of_what_is_repeated(docs_of):
+    docs = docs_of(repeated_texts())
+    chunks = lines._repeated(lines.line_chunks(docs).where("whole"))
+    by_chunks = lines._later(chunks, docs).selectExpr("sum(last - first + 1) AS n").first().n
+    assert by_chunks >= 0.6 * lines.remove_repeats(docs).selectExpr("sum(removed_lines) AS n").first().n
+
+
+def test_places_of_a_frequent_passage_are_dealt(docs_of, monkeypatch):
+    monkeypatch.setattr(lines, "FREQUENT", 5)
+    monkeypatch.setattr(lines, "FREQUENT_PARTS", 20)
+    rows = repeated_texts(13) + [(1_000 + k, f"a third of all\nhave these lines\nand {k}") for k in range(60)]
+    found = lines.remove_repeats(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.text, r.removed_lines) for r in found), key=repr) == lines_brute(rows)
+
+
 def test_stages_keep_columns_of_any_name(spark, tmp_path):
     """Every name that a stage uses itself comes out of it with the values it came in with."""
     rng = random.Random(9)
