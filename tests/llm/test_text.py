@@ -365,10 +365,10 @@ def test_lines_equal_the_rule_on_random_texts(spark, seed):
     assert sorted(((r.doc_id, r.text, r.removed_lines) for r in lines.remove_repeats(frame).collect()), key=repr) == lines_brute(rows)
 
 
-def repeated_texts(seed=12):
-    """Documents that share passages of 2 to 30 lines, some thousands of words long, at changing places."""
+def repeated_texts(seed=12, sizes=(2, 3, 5, 8, 13, 30)):
+    """Documents that share passages of these numbers of lines at changing places."""
     rng = random.Random(seed)
-    passages = [[f"passage {k} line {j}" for j in range(n)] for k, n in enumerate((2, 3, 5, 8, 13, 30))]
+    passages = [[f"passage {k} line {j}" for j in range(n)] for k, n in enumerate(sizes)]
     rows = []
     for k in range(120):
         own = [f"own {k} {j}" for j in range(rng.randrange(9))]
@@ -397,8 +397,9 @@ def test_lines_do_not_depend_on_the_cuts(docs_of, cut_every):
     assert sorted(((r.doc_id, r.text, r.removed_lines) for r in found), key=repr) == lines_brute(rows)
 
 
-def test_chunks_settle_most_of_what_is_repeated(docs_of):
-    docs = docs_of(repeated_texts())
+def test_chunks_settle_most_of_long_passages(docs_of):
+    """About a chunk at each end of a passage is left to windows: most of short passages, little of long ones."""
+    docs = docs_of(repeated_texts(sizes=(40, 50, 60)))
     chunks = lines._repeated(lines.line_chunks(docs).where("whole"))
     by_chunks = lines._later(chunks, docs).selectExpr("sum(last - first + 1) AS n").first().n
     assert by_chunks >= 0.6 * lines.remove_repeats(docs).selectExpr("sum(removed_lines) AS n").first().n
