@@ -8,9 +8,10 @@ from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalweave.functions.text import strip
 from evalweave.schemas import CHUNK
@@ -21,6 +22,10 @@ SEPARATORS = ("\n\n", "\n", ".", " ", "")
 # Steps whose lengths are added up together.
 OFFSET_BLOCK = 64
 
+# Rows taken out of Arrow at once, and characters of chunks held before a batch goes out.
+ROWS_IN = 64
+CHARS_OUT = 4 << 20
+
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -86,17 +91,20 @@ def word_chunks(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFram
     )
 
 
-def _pieces(text: str, lo: int, hi: int, separator: str) -> list[tuple[int, int]]:
-    """Cut a span before every separator."""
+def _pieces(text: str, lo: int, hi: int, separator: str) -> Iterator[tuple[int, int]]:
+    """Cut a span before every separator, one piece at a time."""
     if not separator:
-        return [(i, i + 1) for i in range(lo, hi)]
-    cuts = [lo]
+        yield from ((i, i + 1) for i in range(lo, hi))
+        return
+    start = lo
     at = text.find(separator, lo, hi)
     while at != -1:
-        cuts.append(at)
+        if start < at:
+            yield start, at
+        start = at
         at = text.find(separator, at + len(separator), hi)
-    cuts.append(hi)
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+    if start < hi:
+        yield start, hi
 
 
 def recursive_spans(
@@ -125,32 +133,39 @@ def recursive_spans(
         if lo < hi:
             spans.append((lo, hi))
 
-    def pack(parts: list[tuple[int, int, int]]) -> None:
-        run: deque[tuple[int, int, int]] = deque()
-        used = 0
-        for part in parts:
-            if run and used + part[2] > size:
+    class Packer:
+        """Parts in, chunks out, as they come: a run holds at most one chunk's parts."""
+
+        def __init__(self) -> None:
+            self.run: deque[tuple[int, int, int]] = deque()
+            self.used = 0
+
+        def add(self, part: tuple[int, int, int]) -> None:
+            run = self.run
+            if run and self.used + part[2] > size:
                 emit(run)
-                while run and (used > overlap or used + part[2] > size):
-                    used -= run.popleft()[2]
+                while run and (self.used > overlap or self.used + part[2] > size):
+                    self.used -= run.popleft()[2]
             run.append(part)
-            used += part[2]
-        if run:
-            emit(run)
+            self.used += part[2]
+
+        def close(self) -> None:
+            if self.run:
+                emit(self.run)
 
     def descend(lo: int, hi: int, level: int) -> None:
         while SEPARATORS[level] and text.find(SEPARATORS[level], lo, hi) == -1:
             level += 1
-        fitting: list[tuple[int, int, int]] = []
+        fitting = Packer()
         for a, b in _pieces(text, lo, hi, SEPARATORS[level]):
             n = measure(a, b, level)
             if n < size or level == len(SEPARATORS) - 1:
-                fitting.append((a, b, n))
+                fitting.add((a, b, n))
                 continue
-            pack(fitting)
-            fitting = []
+            fitting.close()
+            fitting = Packer()
             descend(a, b, level + 1)
-        pack(fitting)
+        fitting.close()
 
     if text:
         descend(0, len(text), 0)
@@ -165,19 +180,31 @@ def recursive_chunks(
 ) -> DataFrame:
     """Separator-aware chunks; lengths count ``length`` units, tokens by default.
 
-    Spark's partitions are the parallelism: a document is cut where it is read.
+    Spark's partitions are the parallelism: a document is cut where it is read. Texts
+    leave Arrow a few rows at a time and chunks go out in batches of bounded size, so
+    a task's memory does not follow the size of Spark's batches or of the documents.
     """
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for docs_pdf in batches:
-            rows = [
-                (doc_id, i, lo, text[lo:hi], source)
-                for doc_id, text, source in docs_pdf.itertuples(index=False)
-                if text
-                for i, (lo, hi) in enumerate(recursive_spans(text, size, overlap, length))
-            ]
-            yield pd.DataFrame(
-                rows, columns=["doc_id", "chunk_idx", "start_index", "content", "source"]
-            )
-
-    return docs.select("doc_id", "text", "source").mapInPandas(cut, CHUNK)
+    schema = StructType.fromDDL(CHUNK)
+    arrow_schema = pa.schema([(f.name, t) for f, t in zip(schema.fields, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {name: [] for name in arrow_schema.names}
+        held = 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_IN):
+                part = batch.slice(first, ROWS_IN)
+                for doc_id, text, source in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    if not text:
+                        continue
+                    for i, (lo, hi) in enumerate(recursive_spans(text, size, overlap, length)):
+                        for name, value in zip(arrow_schema.names, (doc_id, i, lo, text[lo:hi], source)):
+                            out[name].append(value)
+                        held += hi - lo
+                        if held >= CHARS_OUT:
+                            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+                            out = {name: [] for name in arrow_schema.names}
+                            held = 0
+        if out["doc_id"]:
+            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+
+    return docs.select("doc_id", "text", "source").mapInArrow(cut, CHUNK)

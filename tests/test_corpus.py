@@ -180,3 +180,15 @@ def test_each_text_is_tokenised_once(monkeypatch):
     monkeypatch.setattr(chunking, "_TOKEN", re.compile(r"\w+|[^\w\s]"))
     text = ("word word. word\n" * 40 + "\n") * 20
     assert len(recursive_spans(text, 10, 3)) > 100 and calls == [len(text)]
+
+
+def test_recursive_spans_of_a_long_unbroken_text_take_little_memory():
+    import tracemalloc
+
+    text = "x" * 1_000_000
+    tracemalloc.start()
+    spans = recursive_spans(text, 200, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans[0] == (0, 200) and spans[-1][1] == len(text) and all(hi - lo <= 200 for lo, hi in spans)
+    assert peak < 16 << 20, peak  # one part list per character held ~150 MB
