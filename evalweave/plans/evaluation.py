@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evalweave.functions.context import DEFAULT_K, MAX_K, MIN_K
 from evalweave.functions.prompts import context_conversation, judge_conversation, templates, vanilla_conversation
@@ -19,7 +20,7 @@ from evalweave.operators.sampling import first_items, items_by_id, items_from, r
 from evalweave.operators.scoring import parse_verdicts, score, scoreboard
 from evalweave.plans.retrieval import GOOD_HITS, GOOD_SCORE, SEARCH_ROUNDS, refined_contexts, retrieve
 from evalweave.schemas import SYSTEM_TYPES
-from evalweave.session import path_exists, written
+from evalweave.session import child_names, path_exists, scratch_path, short_plan_texts, written
 from evalweave.sources.index_store import IndexConfig, build_or_load_index, check_dimensions, embed
 from evalweave.sources.run_files import load_run_entries, save_results, save_run_entry
 from evalweave.sources.state import latest_per_key, load_system_results, run_key, run_phase
@@ -232,11 +233,20 @@ def stored_run(spark: SparkSession, path: str, run_id: str) -> str | None:
 
 
 def _waves(open_rows: DataFrame, size: int) -> Iterator[DataFrame]:
-    """Rows in stretches of ``size`` consecutive ``idx``; stretches without rows are left out."""
-    starts = open_rows.select(F.floor(F.col("idx") / size).alias("wave")).distinct().orderBy("wave")
-    for row in starts.toLocalIterator():  # a number for each wave
-        low = row["wave"] * size
-        yield open_rows.where((F.col("idx") >= low) & (F.col("idx") < low + size))
+    """Rows in stretches of ``size`` consecutive ``idx``; stretches without rows are left out.
+
+    The rows are written once, here, in a folder by stretch, so a wave reads its own
+    folder only and the waves' numbers are the folders' names: all waves together read
+    the rows once, however many there are.
+    """
+    spark = open_rows.sparkSession
+    path = scratch_path(spark, "waves")
+    with short_plan_texts(spark):
+        open_rows.withColumn("_wave", F.floor(F.col("idx") / size)).repartition("_wave").write.partitionBy("_wave").parquet(path)
+    stored = spark.read.schema(StructType([*open_rows.schema.fields, StructField("_wave", LongType())])).parquet(path)
+    numbers = sorted(int(name[len("_wave="):]) for name in child_names(spark, path) if name[len("_wave="):].lstrip("-").isdigit())
+    for number in numbers:  # a number for each wave
+        yield stored.where(F.col("_wave") == number).drop("_wave")
 
 
 def _logged(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
@@ -270,7 +280,7 @@ def answer_with_retries(
     spark = items.sparkSession
     settled = _logged(spark, log, _SETTLED)
     fresh: list[DataFrame] = []
-    for wave in _waves(written(remaining_items(items, settled), "open-items"), wave_rows):
+    for wave in _waves(remaining_items(items, settled), wave_rows):
         done = _settled_wave(written(prompts_for(wave), "prompts"), load_model, agent_timeout, max_retries, parallelism)
         if log is None:
             fresh.append(written(done, "settled"))
@@ -330,7 +340,7 @@ def resume_verdicts(
         "eval_feedback_LLM_judge STRING, system_type STRING"
     )
     logged = load_system_results(spark, verdict_log, schema)
-    todo = written(answers.join(logged.select("system_type", "idx"), ["system_type", "idx"], "left_anti"), "unjudged")
+    todo = answers.join(logged.select("system_type", "idx"), ["system_type", "idx"], "left_anti")
     for system in SYSTEM_TYPES:
         before = Streaks(max_consecutive_errors)
         for wave in _waves(todo.where(F.col("system_type") == system), wave_rows):
@@ -385,7 +395,7 @@ def resume_answers(
     spark = items.sparkSession
     logged = _logged(spark, answer_log, _ANSWER_LOG)
     seq = logged.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()["n"]
-    todo = written(items_from(items, logged) if strict else remaining_items(items, logged), "open-items")
+    todo = items_from(items, logged) if strict else remaining_items(items, logged)
     failed = [spark.createDataFrame([], "idx BIGINT, error STRING")]
     for wave in _waves(todo, wave_rows):
         called = written(run_batch(prompts_for(wave), load_model, parallelism=parallelism), "answered")

@@ -515,3 +515,12 @@ def test_vectors_must_be_whole(spark):
         index = spark.createDataFrame([(1, [1.0, 0.0]), (2, bad)], "vec_id BIGINT, embedding ARRAY<FLOAT>")
         with pytest.raises(Exception, match="vector"):
             top_k(queries, index, ["vec_id"], 1).collect()
+
+
+def test_each_wave_reads_its_own_rows_only(spark):
+    rows = spark.range(0, 50).select(F.col("id").alias("idx"), (F.col("id") * 2).alias("v")).where("idx % 7 <> 3")
+    waves = list(evaluation._waves(rows.repartition(3), 10))
+    assert [sorted(r.idx for r in w.collect()) for w in waves] == [[i for i in range(k, k + 10) if i % 7 != 3] for k in range(0, 50, 10)]
+    for number, wave in enumerate(waves):
+        scan = wave._jdf.queryExecution().executedPlan().toString()
+        assert f"(_wave#" in scan and f" = {number})" in scan.split("PartitionFilters:")[1].split("]")[0], scan
