@@ -23,7 +23,7 @@ from evalweave.operators.scoring import scoreboard
 from evalweave.operators.similarity import top_k
 from evalweave.plans import evaluation, retrieval
 from evalweave.plans.retrieval import GOOD_HITS, GOOD_SCORE
-from evalweave.session import path_exists, scratch_path, shared_path
+from evalweave.session import path_exists, scratch_path, shared_path, stored_bytes
 from evalweave.sources import buckets, index_store, state
 from evalweave.sources.tables import SCHEMAS, table, table_version
 from evalweave.streaming import ingest
@@ -577,11 +577,11 @@ def judge_run(spark, d):
 # --- streams ---------------------------------------------------------------------
 
 
-def _in_files(spark, d, name, files=4):
-    """A table as a stream of several files, each a micro-batch of its own."""
+def _in_files(spark, d, name, batches=4):
+    """A table as a stream of several micro-batches, each of files of a bounded size."""
     path = scratch_path(spark, f"stream-{name}")
-    table(spark, d, name).repartition(files).write.parquet(path)
-    return ingest.file_stream(spark, path, SCHEMAS[name], files_per_batch=1)
+    size = stored_bytes(spark, f"{d}/{name}.parquet")
+    return ingest.in_batches(table(spark, d, name), path, SCHEMAS[name], size, batches)
 
 
 @query("stream_index", sql("SELECT content_sha, content FROM uniq", "uniq"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -27,6 +28,23 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     )
 
 
+#: Stored bytes of a table that one of its files holds at most when it is laid out as a stream.
+FILE_BYTES = 32 << 20
+
+
+def in_batches(
+    frame: DataFrame, path: str, schema, size: int, batches: int = 4, file_bytes: int | None = None
+) -> DataFrame:
+    """``frame``, of ``size`` stored bytes, written at ``path`` and read as a stream of ``batches`` micro-batches.
+
+    A micro-batch is as many files as keep each under ``file_bytes``: a task deals rows
+    into one file, and reads no more than that however large the table is.
+    """
+    per_batch = max(1, math.ceil(size / (batches * (file_bytes or FILE_BYTES))))
+    frame.repartition(batches * per_batch).write.parquet(path)
+    return file_stream(frame.sparkSession, path, schema, files_per_batch=per_batch)
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
     """A stored table as a stream of its files, whether it is a folder or a single file."""
     schema = SCHEMAS[name]

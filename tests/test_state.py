@@ -524,3 +524,20 @@ def test_each_wave_reads_its_own_rows_only(spark):
     for number, wave in enumerate(waves):
         scan = wave._jdf.queryExecution().executedPlan().toString()
         assert f"(_wave#" in scan and f" = {number})" in scan.split("PartitionFilters:")[1].split("]")[0], scan
+
+
+def test_a_table_streamed_in_files_keeps_its_batches_and_bounds_each_file(spark, sf_dir, tmp_path, monkeypatch):
+    from evalweave.catalog import corpus_queries
+
+    # Files of 16 kB stand for those of a large table: one task writes each and reads no more.
+    monkeypatch.setattr(ingest, "FILE_BYTES", 16 << 10, raising=False)
+    monkeypatch.setattr(corpus_queries, "scratch_path", lambda spark, label: str(tmp_path / label))
+    stream = corpus_queries._in_files(spark, sf_dir, "documents")
+    assert len(list((tmp_path / "stream-documents").glob("*.parquet"))) > 4
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, i: seen.append(df.select("doc_id").collect())).option(
+        "checkpointLocation", str(tmp_path / "state")
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
+    assert sorted(r.doc_id for rows in seen for r in rows) == sorted(r.doc_id for r in whole)
