@@ -40,8 +40,10 @@ from evalweave.session import written
 
 SKETCH_BITS = 20
 SHORT_LIST = 8
-#: Postings of one bucket, and members of one block of a long list.
-BUCKET_ROWS, BLOCK_MEMBERS = 200_000, 2_048
+#: Postings of one bucket, and members of one block of a long list: a pair of blocks is one
+#: group, so the comparisons of a long list, which grow with the square of its members, are
+#: dealt over many tasks.
+BUCKET_ROWS, BLOCK_MEMBERS = 200_000, 512
 #: Partners tried before all.
 NEAREST = 3
 _BLOCK_BITS = 14
@@ -303,18 +305,23 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int)
     return _verified(allowed, sets, percent)
 
 
+def _block_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """list, low, high, cid, label, own: members of long ``lists`` not all in one component, once in each pair of blocks of their list that holds their own."""
+    known = lists.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    spread = known.groupBy("list").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = known.join(spread.withColumn("blocks", blocks), "list").withColumn("own", own)
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "cid", "label", "own")
+
+
 def _across(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
     """Pairs of members of long ``lists`` (list, cid) in different components that their histograms allow.
 
     Every such pair has a member outside the component that most members are in, so
     only those look for partners: for all, or for the few of the highest bounds.
     """
-    known = lists.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    spread = known.groupBy("list").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("low", "high")
-    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = known.join(spread.withColumn("blocks", blocks), "list").withColumn("own", own)
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "cid", "label", "own")
+    paired = _block_pairs(lists, labels)
 
     def compare(table: pa.Table) -> pa.Table:
         cids, labels_, sizes, sides = (table[name].to_numpy() for name in ("cid", "label", "n", "own"))
@@ -350,7 +357,9 @@ def _across(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     full = paired.join(classes.select("cid", "n", "histogram"), "cid")
-    return full.groupBy("list", "low", "high").applyInArrow(compare, "a BIGINT, b BIGINT").distinct()
+    # Few rows but much work each: dealt over all cores, not gathered by their bytes into one task.
+    tasks = 2 * lists.sparkSession.sparkContext.defaultParallelism
+    return full.repartition(tasks, "list", "low", "high").groupBy("list", "low", "high").applyInArrow(compare, "a BIGINT, b BIGINT").distinct()
 
 
 def link_documents(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -80,6 +80,16 @@ def test_jaccard(monkeypatch, docs_of, percent, short, block):
     assert sorted((row.doc_id, row.n_shingles, row.component_id) for row in found) == brute_components(rows, percent)
 
 
+def test_long_lists_are_compared_in_small_blocks(spark):
+    # One list of 3,000 members, each its own component, as a large group of copies gives: no group of the comparison holds it whole.
+    lists = spark.range(3000).select(F.lit(7).cast("bigint").alias("list"), F.col("id").alias("cid"))
+    labels = spark.range(3000).select(F.col("id").alias("node"), F.col("id").alias("label"))
+    paired = jaccard._block_pairs(lists, labels)
+    sizes = [row["count"] for row in paired.groupBy("list", "low", "high").count().collect()]
+    assert max(sizes) < 3 * jaccard.BLOCK_MEMBERS < 3000 and len(sizes) > 1
+    assert paired.groupBy("cid").count().where("count <> {0}".format(-(-3000 // jaccard.BLOCK_MEMBERS))).count() == 0
+
+
 def test_jaccard_edges(docs_of):
     found = jaccard.link_documents(docs_of(AWKWARD)).collect()
     assert len(found) == len(AWKWARD) and len({row.row for row in found}) == len(AWKWARD)
